@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch, from which on it is sent: this bounds what a Python worker holds at once, but for a single longer text.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _own: dict[str, str] = {}
 
 

@@ -36,7 +36,7 @@ _powers: list[np.ndarray] = []
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         _powers[:] = []
         for base in (_P, _PI):
             p = np.full(size, base, np.uint64)
@@ -74,7 +74,7 @@ class Words:
         return mix(g)
 
 
-def blocks(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, bytes, offsets) of runs of texts of about ``most`` bytes together; a longer text comes alone; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

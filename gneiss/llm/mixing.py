@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm._store import discard, materialise, table
+from gneiss.llm._store import discard, materialise, table, tune
 
 SEED, MAX_EPOCHS, MAX_LEAVES = 17, 2, 20_000
 DOMAIN_WEIGHTS = {"domain0": 4.0, "domain1": 3.0, "domain2": 2.0, "domain3": 1.0}
@@ -70,8 +71,13 @@ def hand_down(node: Node, budget: int, epochs: int) -> None:
 
 
 def n_tokens(text: Column) -> Column:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the text; none for null."""
-    return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+    """Words ``[^\x20\x09-\x0D]+`` of the text; none for null."""
+
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([len((t or "").encode().split()) for t in texts.to_pylist()], pa.int64())
+
+    return run(text)
 
 
 def domain_of(source: Column) -> Column:
@@ -87,6 +93,7 @@ def mix(docs: DataFrame, share: float = 1.0, seed: int = SEED, max_epochs: int =
     without tokens has no whole epochs and gives its documents once, at no cost, if it has a budget share at all (max_epochs
     > 0).  Equal rows stand at one place of the order and are taken or left together.  More than MAX_LEAVES leaves are refused.
     """
+    tune(docs.sparkSession)
     dom = domain_of(F.col("source")) if domain is None else domain
     lang, source = (F.coalesce(F.col(c), F.lit("\0null")) for c in ("lang", "source"))
     place = F.xxhash64(F.lit(seed), "doc_id", "text")
