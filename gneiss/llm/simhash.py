@@ -27,7 +27,7 @@ from gneiss.llm._words import LOWER
 
 SEED, WIDTH, BITS, HOT = 42, 4, 4, 20_000
 #: Costs of the plan: a row that is dealt to a bucket, and a comparison within one.
-ROW_COST, PAIR_COST = 1.0, 0.02
+ROW_COST, PAIR_COST = 1.0, 0.001
 _LOWER = bytes(LOWER)
 
 
@@ -119,12 +119,12 @@ def allocate(n: int, both: np.ndarray, parts: list[list[int]], bits: int) -> tup
     return best[bits + 1]
 
 
-def plan(fps: DataFrame, bits: int, widths: tuple[int, ...] = (2, 3, 4, 5)) -> list[tuple[list[int], int]]:
+def plan(fps: DataFrame, bits: int, widths: tuple[int, ...] = (2, 3, 4, 5, 6, 7, 8)) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition in use, of the number of partitions with the least estimated cost."""
     n, both = bit_counts(fps)
     n = max(n, 1)
     tried = []
-    for m in widths:
+    for m in (w for w in widths if w <= bits + 1):
         parts = arrange(n, both, m)
         c, ts = allocate(n, both, parts, bits)
         tried.append((c, [(q, t) for q, t in zip(parts, ts, strict=True) if t >= 0]))
@@ -281,7 +281,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-def deduplicate(docs: DataFrame, width: int = 5, bits: int = 9, similarity: float = 0.8, near: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 5, bits: int = 12, similarity: float = 0.8, near: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near copies: the one with the smallest id (null last), its first text on ties.
 
     Equal texts are one class.  Links of at most ``bits`` bits are verified: the Jaccard similarity of the sets of
