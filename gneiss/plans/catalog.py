@@ -2,10 +2,567 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from gneiss.functions import text as X
+from gneiss.operators import chunking, dedup, graphs, ontology, retrieval, rollups, web
+from gneiss.plans import sql as Q
+from gneiss.sources.tables import documents, questions, table, vectors
+from gneiss.streaming import jobs
+
+_all: dict = {}
+
+
+def query(f):
+    _all[f.__name__] = f
+    return f
+
 
 def queries() -> dict:
-    return {}
+    return dict(_all)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in Q.ORACLE.items() if k in _all}
+
+
+def _question_vectors(s, d) -> DataFrame:
+    v = vectors(s, d).withColumnRenamed("doc_id", "query_id").select("query_id", "embedding")
+    return questions(s, d).select("query_id").join(v, "query_id")
+
+
+def _doc_vectors(s, d) -> DataFrame:
+    return vectors(s, d).join(documents(s, d).select("doc_id"), "doc_id", "left_semi")
+
+
+def _dense(s, d):
+    return retrieval.cosine(_doc_vectors(s, d), _question_vectors(s, d))
+
+
+def _lexical(s, d):
+    return retrieval.bm25(documents(s, d), questions(s, d))
+
+
+def _fused(s, d):
+    return retrieval.rrf(_dense(s, d), _lexical(s, d)).join(documents(s, d).select("doc_id", "source", "modified", "text"), "doc_id")
+
+
+# ---------------------------------------------------------------- corpus
+
+
+@query
+def corpus_stats(s, d):
+    return rollups.corpus_stats(documents(s, d), vectors(s, d))
+
+
+@query
+def status_tally(s, d):
+    return rollups.with_status(documents(s, d), vectors(s, d)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query
+def missing_vectors(s, d):
+    return rollups.missing_vectors(documents(s, d), vectors(s, d))
+
+
+@query
+def scope_documents(s, d):
+    scopes = s.createDataFrame([("src1",), ("src2",)], "source string")
+    return documents(s, d).join(scopes, "source", "left_semi").select("doc_id", "source", "lang", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(20)
+
+
+@query
+def document_ids(s, d):
+    return documents(s, d).select("doc_id", X.document_id(F.col("source"), F.col("text")).alias("content_id"), X.chunk_id(F.col("doc_id").cast("string"), F.lit(0), F.col("text")).alias("chunk_id"))
+
+
+@query
+def content_duplicates(s, d):
+    return dedup.content_duplicates(documents(s, d))
+
+
+@query
+def collections_overview(s, d):
+    stats, tally = rollups.corpus_stats(documents(s, d), vectors(s, d)), rollups.with_status(documents(s, d), vectors(s, d)).groupBy("source").agg(F.count_if(F.col("status") == "indexed").alias("indexed"))
+    return stats.join(tally, "source").withColumn("graph", F.when(F.col("indexed") == F.col("chunks"), "ready").otherwise("stale"))
+
+
+# ---------------------------------------------------------------- conversations
+
+
+@query
+def recent_turns(s, d):
+    return rollups.last_rows(table(s, d, "conversations"), "conv_id", "turn", 4).select("conv_id", "turn", "role")
+
+
+@query
+def message_counts(s, d):
+    c = table(s, d, "conversations")
+    return c.groupBy("conv_id").agg(F.count("*").alias("messages"), F.count_if(F.col("role") == "user").alias("prompts"), F.max("turn").alias("last_turn"))
+
+
+@query
+def autotitle(s, d):
+    first = table(s, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
+    return first.select("conv_id", X.autotitle(F.col("prompt")).alias("title"))
+
+
+@query
+def list_conversations(s, d):
+    c = table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("updated"))
+    return c.where("messages > 2").orderBy(F.desc("updated"), "conv_id").limit(50)
+
+
+@query
+def prompt_history(s, d):
+    c = table(s, d, "conversations")
+    last = F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(Window.partitionBy("conv_id"))
+    kept = F.when((F.col("role") == "assistant") & (F.col("turn") == last), 4000).otherwise(600)
+    return c.select("conv_id", "turn", F.length(F.substr("text", F.lit(1), kept)).alias("kept_chars"))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query
+def score_text(s, d):
+    return documents(s, d).select("doc_id", X.score_text(F.col("text")).alias("quality"), X.score_warnings(F.col("text")).alias("warnings"))
+
+
+@query
+def classify_level(s, d):
+    return documents(s, d).select("doc_id", X.classify(F.col("text"), F.col("source")).alias("level"))
+
+
+@query
+def pii_tags(s, d):
+    return documents(s, d).select("doc_id", X.pii_tags(F.col("text")).alias("tags"))
+
+
+@query
+def extract_urls(s, d):
+    return table(s, d, "conversations").select("conv_id", "turn", F.posexplode(X.urls(F.col("text"))).alias("pos", "url"))
+
+
+@query
+def junk_ratio(s, d):
+    return documents(s, d).select("doc_id", F.round(X.junk_ratio(F.col("text")), 6).alias("junk"))
+
+
+@query
+def clean_text(s, d):
+    return documents(s, d).select("doc_id", F.md5(X.clean_text(F.col("text"))).alias("cleaned"))
+
+
+@query
+def snippets(s, d):
+    return documents(s, d).select("doc_id", X.snippet(F.col("text")).alias("snippet"))
+
+
+@query
+def sentence_split(s, d):
+    return documents(s, d).select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("sentences"), F.array_max(F.transform(X.sentences(F.col("text")), lambda x: F.length(x))).cast("long").alias("longest"))
+
+
+@query
+def title_case_entities(s, d):
+    return documents(s, d).select("doc_id", F.array_join(X.title_entities(F.col("text")), "|").alias("entities"))
+
+
+@query
+def keywords_topk(s, d):
+    words = documents(s, d).select("doc_id", F.posexplode(X.keyword_tokens(F.col("text"))).alias("pos", "word"))
+    n = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
+    return n.withColumn("rank", rank.cast("long")).where("rank <= 8").select("doc_id", "rank", "word", "n")
+
+
+@query
+def word_counts(s, d):
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z][A-Za-z']{2,}"), F.lit(0))
+    by_form = documents(s, d).select(F.explode(found).alias("form")).groupBy("form").agg(F.count("*").alias("n")).withColumn("word", F.lower("form")).where(~F.col("word").isin(X.STOP_WORDS))
+    best = F.min(F.struct((-F.col("n")).alias("k"), "form"))["form"]
+    return by_form.groupBy("word").agg(F.sum("n").alias("n"), best.alias("display")).orderBy(F.desc("n"), "word").limit(60)
+
+
+@query
+def word_sizes(s, d):
+    c = word_counts(s, d)
+    w = Window.partitionBy(F.lit(1))  # 60 rows
+    share = (F.col("n") - F.min("n").over(w)) / F.greatest(F.max("n").over(w) - F.min("n").over(w), F.lit(1))
+    return c.select("word", F.round(15 + F.sqrt(share) * (68 - 15), 6).alias("size"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+@query
+def bm25_unstemmed(s, d):
+    return _lexical(s, d).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def cosine_topk(s, d):
+    return _dense(s, d).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def rrf_fusion(s, d):
+    return retrieval.rrf(_dense(s, d), _lexical(s, d)).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def recency_rerank(s, d):
+    return retrieval.recency_rerank(_fused(s, d)).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def diversify(s, d):
+    return retrieval.diversify(_fused(s, d), "source", 1).select("query_id", "rank", "doc_id", "source")
+
+
+@query
+def context_budget(s, d):
+    return retrieval.context_budget(_fused(s, d)).select("query_id", "rank", "doc_id", F.length("text").cast("long").alias("chars"))
+
+
+@query
+def hybrid_search(s, d):
+    out = retrieval.hybrid_search(documents(s, d), _doc_vectors(s, d), questions(s, d), _question_vectors(s, d))
+    return out.select("query_id", "rank", "doc_id", "source", "score", F.length("text").cast("long").alias("chars"))
+
+
+@query
+def collection_discovery(s, d):
+    return retrieval.discover_collections(_lexical(s, d).join(documents(s, d).select("doc_id", "source"), "doc_id")).withColumn("top_score", F.round("top_score", 6))
+
+
+@query
+def like_search(s, d):
+    terms = questions(s, d).where("query_id < 10").select("query_id", F.explode(X.search_terms(F.col("text"), 6)).alias("term")).distinct()
+    words = documents(s, d).select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+    return words.join(terms, "term").select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count("*").alias("hits"), F.min("doc_id").alias("first_doc"))
+
+
+@query
+def mean_intent_vector(s, d):
+    return retrieval.mean_vector(vectors(s, d), "label").select("label", F.col("pos").cast("long").alias("pos"), F.round("mean", 6).alias("mean"))
+
+
+@query
+def relevance_filter(s, d):
+    m = retrieval.mean_vector(vectors(s, d), "label").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("v"))
+    return retrieval.relevance_filter(vectors(s, d), m.select("label", F.transform("v", lambda x: x["mean"]).alias("intent")), 0.2).select("label", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- duplicates
+
+
+def _pairs(s, d):
+    return dedup.shared(dedup.fingerprints(documents(s, d)))
+
+
+@query
+def fingerprint_pairs(s, d):
+    return _pairs(s, d)
+
+
+@query
+def near_duplicates(s, d):
+    return dedup.near(_pairs(s, d)).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query
+def containment(s, d):
+    return dedup.contained(_pairs(s, d)).withColumn("coverage", F.round("coverage", 6))
+
+
+@query
+def absorbed(s, d):
+    return dedup.absorbed(dedup.contained(_pairs(s, d))).withColumn("coverage", F.round("coverage", 6))
+
+
+@query
+def near_components(s, d):
+    return graphs.components(dedup.near(_pairs(s, d)).select("a", "b"))
+
+
+@query
+def complete_linkage(s, d):
+    links = dedup.near(_pairs(s, d)).select("a", "b")
+    groups = dedup.linkage(links, graphs.components(links))
+    size = dedup.fingerprints(documents(s, d)).groupBy("doc_id").agg(F.count("*").alias("size"))
+    return dedup.survivors(groups, documents(s, d).select("doc_id", "modified").join(size, "doc_id")).select("cluster", "doc_id", "role")
+
+
+@query
+def file_families(s, d):
+    names = table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat("p_brand", F.when(F.col("p_partkey") % 3 == 0, " v2").when(F.col("p_partkey") % 3 == 1, "_final").otherwise(""), F.lit(".docx")).alias("file_name"))
+    return dedup.families(names)
+
+
+# ---------------------------------------------------------------- graphs
+
+
+@query
+def mention_explode(s, d):
+    return graphs.mentions(documents(s, d)).select("doc_id", F.col("pos").cast("long").alias("pos"), "raw", "name")
+
+
+@query
+def entity_exact_clusters(s, d):
+    return graphs.exact_clusters(graphs.mentions(documents(s, d)))
+
+
+@query
+def cooccurrence_edges(s, d):
+    return graphs.cooccurrence(graphs.mentions(documents(s, d)))
+
+
+@query
+def neighbourhood(s, d):
+    ms = graphs.mentions(documents(s, d))
+    seeds = ms.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(8).select(F.col("name").alias("seed"))
+    return graphs.neighbourhood(graphs.cooccurrence(ms), seeds)
+
+
+@query
+def edge_stats(s, d):
+    ms = graphs.mentions(documents(s, d))
+    e = graphs.cooccurrence(ms).agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"))
+    return ms.agg(F.count_distinct("name").alias("nodes"), F.count("*").alias("mentions")).crossJoin(e)  # one row each
+
+
+@query
+def candidate_terms(s, d):
+    return graphs.candidate_terms(documents(s, d))
+
+
+@query
+def entity_resolution(s, d):
+    ms = graphs.mentions(documents(s, d))
+    near = ms.groupBy("doc_id").agg(F.collect_set("name").alias("near"))
+    full = ms.join(near, "doc_id").select((F.col("doc_id") * 16 + F.col("pos")).alias("mention_id"), "doc_id", F.col("source").alias("uri"), F.lit("PROPN").alias("label"), "name", F.array_except("near", F.array("name")).alias("near"), F.array().cast("array<string>").alias("keywords"))
+    found = graphs.components(graphs.resolution_links(full.where("length(name) >= 6")))
+    return found.groupBy("label").agg(F.count("*").alias("mentions"))
+
+
+# ---------------------------------------------------------------- ontology
+
+
+def _relations(s, d) -> DataFrame:
+    kinds = F.array(*map(F.lit, ["Service", "Team", "Tool", "Risk", "Control"]))
+    preds = F.array(*map(F.lit, ["USES", "MITIGATES", "DEPENDS_ON", "ALTERNATIVE_TO", "OWNED_BY", "OTHER", "FORBIDDEN", "UNHEARD"]))
+    o = table(s, d, "lineitem")
+    pick = lambda a, k: F.get(a, (k % F.size(a)).cast("int"))
+    return o.select("l_orderkey", "l_linenumber", pick(preds, F.col("l_partkey")).alias("predicate"), pick(kinds, F.col("l_suppkey")).alias("subject_class"), pick(kinds, F.col("l_linenumber") + F.col("l_orderkey")).alias("object_class"))
+
+
+@query
+def type_gate(s, d):
+    g = ontology.type_gate(_relations(s, d), ontology.constraints(s))
+    return g.groupBy("predicate", "subject_class", "object_class").agg(F.count("*").alias("n"), F.first("ok").alias("ok"), F.first("inversion_valid").alias("inversion_valid"), F.first("reason").alias("reason"), F.first("component").alias("component"))
+
+
+@query
+def claim_confidence(s, d):
+    g = ontology.type_gate(_relations(s, d), ontology.constraints(s)).withColumn("self", (F.col("l_orderkey") % 11) / 10.0)
+    g = g.withColumn("confidence", ontology.confidence(F.col("self"), F.col("predicate"), F.col("component")))
+    return g.groupBy("confidence", (~F.col("ok") | (F.col("confidence") < 0.35)).alias("quarantined")).agg(F.count("*").alias("n"))
+
+
+@query
+def unmitigated_risks(s, d):
+    """Customers stand for risks and their orders of high priority for mitigations."""
+    risks = table(s, d, "customer").select(F.col("c_custkey").alias("risk"), "c_mktsegment")
+    return risks.join(table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("risk")), "risk", "left_anti")
+
+
+@query
+def impact_closure(s, d):
+    """Everything that depends on a nation, through regions as groups: a recursive query over an edge table."""
+    table(s, d, "nation").select((F.col("n_nationkey")).alias("a"), F.floor(F.col("n_nationkey") / 2).cast("int").alias("b")).where("a <> b").createOrReplaceTempView("gneiss_depends")
+    return s.sql("WITH RECURSIVE r(root, node, depth) AS (SELECT a, b, 1 FROM gneiss_depends UNION ALL SELECT r.root, e.b, r.depth + 1 FROM r JOIN gneiss_depends e ON e.a = r.node WHERE r.depth < 10) SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY root, node")
+
+
+@query
+def claim_sets(s, d):
+    r = _relations(s, d).select(F.col("subject_class").alias("subject"), "predicate", F.col("object_class").alias("object"), "l_linenumber")
+    return ontology.mutually_exclusive(r.where("l_linenumber = 1"), r.where("l_linenumber = 5"))
+
+
+@query
+def entailment_policy(s, d):
+    rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("entail"), (F.col("l_tax") * 10).alias("contradict"), ((F.col("l_partkey") % 10) / 10.0).alias("flipped_entail"), (F.col("l_returnflag") == "R").alias("negated"), (F.col("l_linestatus") == "O").alias("symmetric"))
+    return ontology.entailment_policy(rows).groupBy("negated", "symmetric", "decision").agg(F.count("*").alias("n"))
+
+
+#: Forms of the synthetic corpus, as a small vocabulary.
+VOCABULARY = ontology.Gazetteer({"Licence": {"MIT License": [], "Apache License": ["Apache License, Version 2.0"], "GNU General Public License": ["GPL"], "CC BY-NC": ["CC BY-NC 4.0"]}, "Vendor": {"All rights reserved": []}}, {"License": ["MIT License", "Apache License"]})
+
+
+@query
+def gazetteer_find(s, d):
+    return ontology.gazetteer_mentions(documents(s, d), VOCABULARY)
+
+
+@query
+def entity_build(s, d):
+    return ontology.entity_build(ontology.gazetteer_mentions(documents(s, d), VOCABULARY))
+
+
+@query
+def trigger_budget(s, d):
+    return ontology.trigger_budget(ontology.gazetteer_mentions(documents(s, d), VOCABULARY))
+
+
+# ---------------------------------------------------------------- runs
+
+
+@query
+def telemetry_rollup(s, d):
+    return rollups.telemetry(table(s, d, "events"))
+
+
+@query
+def keyset_page(s, d):
+    return rollups.keyset_page(table(s, d, "events").select("event_id", "user_id", "event_type"), "event_id", 500, 100)
+
+
+@query
+def prune_events(s, d):
+    return rollups.last_rows(table(s, d, "events"), "user_id", "event_id", 20).select("user_id", "event_id")
+
+
+@query
+def lease_expiry(s, d):
+    return rollups.expired(table(s, d, "events"), 3600)
+
+
+@query
+def job_progress(s, d):
+    return rollups.progress(table(s, d, "events"), {"signup": 10.0, "click": 20.0, "view": 30.0, "purchase": 35.0, "error": 5.0})
+
+
+@query
+def latest_job_state(s, d):
+    return rollups.latest_state(table(s, d, "events"))
+
+
+@query
+def plateau(s, d):
+    e = table(s, d, "events").where("event_type = 'view'").select("user_id", "event_id", "value")
+    return rollups.plateau(e, "user_id", "event_id", "value", 5.0).groupBy("user_id").agg(F.count_if("plateaued").alias("plateaus"), F.round(F.sum("gain"), 4).alias("gain"))
+
+
+@query
+def best_attempt(s, d):
+    e = table(s, d, "events").select("user_id", "event_id", "value", "event_type")
+    return rollups.best_attempt(e, "user_id", "event_id", "value")
+
+
+@query
+def stagnation_islands(s, d):
+    return rollups.stagnation(table(s, d, "events"), "user_id", "event_id", "event_type")
+
+
+def _tasks(s, d):
+    return table(s, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.when(F.col("event_type") == "click", "retriever").otherwise(F.col("event_type")).alias("agent"), F.lower(F.trim("props")).alias("payload"))
+
+
+@query
+def dispatch_budget(s, d):
+    return rollups.dispatch(_tasks(s, d), ["retriever", "view", "purchase", "signup"]).groupBy("run", "agent", "decision").agg(F.count("*").alias("n"))
+
+
+@query
+def duplicate_tasks(s, d):
+    return _tasks(s, d).groupBy("agent", "payload").agg(F.count("*").alias("n"), F.min("step").alias("first")).where("n > 1")
+
+
+@query
+def job_stats(s, d):
+    o = table(s, d, "orders")
+    return o.groupBy("o_orderstatus").agg(F.count("*").alias("jobs"), F.round(F.coalesce(F.sum(F.when(F.col("o_totalprice") > 1000, F.col("o_totalprice"))), F.lit(0.0)), 2).alias("total"))
+
+
+@query
+def jobs_page(s, d):
+    j = table(s, d, "orders").join(table(s, d, "customer"), F.expr("o_custkey = c_custkey"), "left")
+    return j.select("o_orderkey", "o_orderdate", "c_name").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(40).limit(20)
+
+
+@query
+def job_phases(s, d):
+    """Jobs with their first and last phase and the phases' total."""
+    l = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("phases"), F.round(F.sum("l_quantity"), 2).alias("total"), F.max(F.struct("l_linenumber", "l_linestatus"))["l_linestatus"].alias("last"))  # noqa: E741
+    return table(s, d, "orders").select("o_orderkey", "o_orderstatus").join(l, F.expr("o_orderkey = l_orderkey"), "left").select("o_orderkey", "o_orderstatus", F.coalesce("phases", F.lit(0)).alias("phases"), "total", "last")
+
+
+@query
+def queue_head(s, d):
+    return table(s, d, "orders").groupBy("o_orderpriority").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("next_job"))
+
+
+@query
+def merge_counts(s, d):
+    e = table(s, d, "events").groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("-", "event_type", F.col("event_id").cast("string")), F.lit(1)))).alias("m"))
+    return e.select(F.explode("m").alias("k", "v")).groupBy(F.split("k", "-")[0].alias("agent")).agg(F.sum("v").alias("n"))
+
+
+@query
+def late_results(s, d):
+    """A later result counts only if it has more words than any before it from the same source."""
+    w = documents(s, d).select("source", "doc_id", F.size(X.tokens(F.col("text"))).alias("words"))
+    before = F.max("words").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    return w.withColumn("best", before).where("words > coalesce(best, 0)").select("source", "doc_id", F.col("words").cast("long").alias("words"))
+
+
+@query
+def hourly_windows(s, d):
+    return jobs.windowed(table(s, d, "events"))
+
+
+@query
+def worker_leases(s, d):
+    return jobs.leases(table(s, d, "events"), "3600 seconds")
+
+
+@query
+def distinct_messages(s, d):
+    return jobs.distinct_messages(table(s, d, "events")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- pages
+
+
+@query
+def page_hosts(s, d):
+    return table(s, d, "pages").select(web.host(F.col("url")).alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
+
+
+@query
+def url_dates(s, d):
+    p = table(s, d, "pages").select("page_id", web.url_date(F.concat("url", F.lit("/2024-01-"), F.lpad(((F.col("page_id") % 28) + 1).cast("string"), 2, "0"))).alias("day"))
+    return p.select("page_id", F.round(X.recency(F.col("day"), F.lit("2024-01-20").cast("timestamp"), 240), 6).alias("score"))
+
+
+@query
+def blocked_pages(s, d):
+    return table(s, d, "pages").select("page_id", web.blocked(F.col("html")).alias("blocked"), F.length("html").cast("long").alias("chars"))
+
+
+@query
+def page_extract(s, d):
+    return web.extract(table(s, d, "pages"))
+
+
+@query
+def page_links(s, d):
+    return web.page_links(table(s, d, "pages"))
+
+
+@query
+def chunk_prose(s, d):
+    return chunking.chunk(documents(s, d))
