@@ -13,11 +13,11 @@ are rows of a Parquet table in the shared folder, so Spark commits them as a who
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,9 @@ from pyspark.sql import functions as F
 
 from gneiss.llm._store import materialise, table, tune
 
-TOKENIZER, END, BLOCK, FILE_IDS, PART_ROWS = "byte_bpe_50k.json", 2, 1 << 16, 1 << 22, 8_000
+TOKENIZER, END, BLOCK, FILE_IDS, PART_ROWS = "byte_bpe_50k.json", 2, 1 << 16, 1 << 21, 8_000
 _MAGIC, _HEAD, _FOOT = b"GNBP", struct.Struct("<4sHHIQQQ"), struct.Struct("<Q4s")
-MEMO = 400_000  # units a worker remembers; beyond that it starts afresh
-#: Odd blanks: where they stand next to a plain one, the text is not cut there.
-_ODD = re.compile(r"[^\S \n]|  |\n\n| \n|\n |^[ \n]|[ \n]$")
-
+MEMO = 400_000  # units a worker remembers; beyond that it keeps the frequent ones
 
 def planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
     """The byte planes, or bit planes, of 32-bit ids; the highest first."""
@@ -53,7 +50,7 @@ def from_planes(parts: list[bytes], n: int) -> np.ndarray:
 
 def pack(ids: np.ndarray, docs: list[int | None], counts: np.ndarray, before: int, block: int = BLOCK, bits: bool = False) -> bytes:
     """One file of whole documents."""
-    z = zstandard.ZstdCompressor(level=3).compress
+    z = zstandard.ZstdCompressor(level=1).compress
     n_planes = 32 if bits else 4
     out, index = [_HEAD.pack(_MAGIC, 1, n_planes, block, len(docs), len(ids), before)], []
     at = len(out[0])
@@ -109,64 +106,102 @@ class Encoder:
     """Whole texts to ids with the tokenizers library.
 
     The pattern of a byte-level vocabulary never joins what stands on both sides of a single plain blank or line feed between two visible
-    characters.  A text is cut there, and each unit is encoded by the library once and remembered; a text with other
-    white space is encoded whole, and so is one that holds a special token's string.
+    characters.  A text is cut there, and each unit is remembered once the library has given its ids: units of letters, with a
+    mark after them at most, are whole matches of the pattern and go to the library's model at once, others through its whole encoding.  A text
+    with other white space is encoded whole, and so is one that holds a special token's string.
     """
 
     def __init__(self, path: str):
         import tokenizers
 
         self.tok = tokenizers.Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        # the printable character that stands for each byte
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = iter(range(256, 512))
+        self.shown = {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
+        self.mark = {c: [self.model.token_to_id(c)] for c in ".,;:!?"}
+        self.feed = [self.model.token_to_id(self.shown[10])]
         self.clear()
 
     def clear(self) -> None:
         self.memo: dict[str, int] = {}
-        self.start, self.size, self.flat, self.n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], 0
+        self.start, self.size, self.flat, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Forget the units that were met only once or twice."""
+        keep = self.hits > 2
+        kept = np.flatnonzero(keep)
+        self.memo = {u: n for n, u in enumerate(u for u, k in zip(self.memo, keep.tolist(), strict=True) if k)}
+        size = self.size[kept]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.repeat(self.start[kept] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self.start, self.size, self.hits = ends - size, size, self.hits[kept] // 2
+        if len(self.memo) > MEMO // 2:
+            self.clear()
 
     def _learn(self, units: list[str]) -> None:
-        got = [e.ids for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
+        """Units as encode() cuts them: after a line feed, at the beginning of a text (with a zero byte before it), else after a blank."""
+        cut, blank, shown, marks = self.model.tokenize, self.shown[32], self.shown, self.mark
+        order, got, other = [], [], []
+        for u in units:
+            word, end = (u[:-1], marks[u[-1]]) if u[-1] in marks else (u, None)
+            if word.isalpha():
+                ids = [t.id for t in cut(blank + (word if word.isascii() else word.encode().decode("latin-1").translate(shown)))]
+            elif word and word[0] < " " and word[1:].isalpha():
+                ids = [t.id for t in cut(word[1:] if word.isascii() else word[1:].encode().decode("latin-1").translate(shown))]
+                if word[0] == "\n":
+                    ids = self.feed + ids
+            else:
+                other.append(u)
+                continue
+            order.append(u)
+            got.append(ids + end if end else ids)
+        if other:
+            texts = [u[1:] if u[0] == "\0" else u if u[0] == "\n" else " " + u for u in other]
+            order += other
+            got += [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
-        self.start.append(self.n + np.cumsum(size) - size)
-        self.size.append(size)
-        self.flat.append(np.fromiter((i for g in got for i in g), np.uint32, int(size.sum())))
-        self.n += int(size.sum())
-        self.memo.update(zip(units, range(len(self.memo), len(self.memo) + len(units)), strict=True))
+        n = len(self.flat)
+        self.start = np.concatenate([self.start, n + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
+        self.hits = np.concatenate([self.hits, np.zeros(len(got), np.int64)])
+        self.memo.update(zip(order, range(len(self.memo), len(self.memo) + len(order)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and how many each has."""
         if len(self.memo) > MEMO:
-            self.clear()
-        split, whole = [], {}
+            self._shrink()
+        units: list[str] = []
+        n_units, whole = [], {}
         for i, text in enumerate(texts):
-            if _ODD.search(text) or any(s in text for s in self.special):
-                whole[i] = text
-                split.append([])
-            else:  # each unit keeps the blank or line feed before it
-                split.append(text.replace("\n", " \n").split(" ") if text else [])
+            # no white space but single blanks and line feeds between words
+            if text and " ".join(text.split()) == text.replace("\n", " ") and "\0" not in text and not any(s in text for s in self.special):
+                parts = text.replace("\n", " \n").split(" ")
+                parts[0] = "\0" + parts[0]
+                units += parts
+                n_units.append(len(parts))
+            else:
+                n_units.append(0)
+                if text:
+                    whole[i] = text
         memo = self.memo
-        # the first unit has no blank before it; a unit that begins with a line feed has none either
-        keys = [[u if k == 0 or u[0] == "\n" else " " + u for k, u in enumerate(s)] for s in split]
-        fresh = {u: None for s in keys for u in s if u not in memo}
+        fresh = [u for u in set(units) if u not in memo]
         if fresh:
-            self._learn(list(fresh))
-        for c in (self.start, self.size, self.flat):
-            c[:] = [np.concatenate(c)] if len(c) > 1 else c
-        n_units = np.fromiter(map(len, keys), np.int64, len(keys))
-        at = np.fromiter((memo[u] for s in keys for u in s), np.int64, int(n_units.sum()))
-        size = self.size[0][at]
+            self._learn(fresh)
+        at = np.fromiter(map(memo.__getitem__, units), np.int64, len(units))
+        self.hits += np.bincount(at, minlength=len(self.hits))
+        size = self.size[at]
         ends = np.cumsum(size)
-        ids = self.flat[0][np.repeat(self.start[0][at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        edge = np.r_[0, ends][np.r_[0, np.cumsum(n_units)]]
+        ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        edge = np.r_[0, ends][np.r_[0, np.cumsum(n_units)].astype(np.int64)]
         if not whole:
             return ids, np.diff(edge)
-        parts, counts = [], []
-        order = list(whole)
-        alone = dict(zip(order, (np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(list(whole.values()), add_special_tokens=False)), strict=True))
-        for i in range(len(texts)):
-            parts.append(alone[i] if i in alone else ids[edge[i] : edge[i + 1]])
-            counts.append(len(parts[-1]))
-        return np.concatenate(parts), np.array(counts)
+        alone = {i: np.array(e.ids, np.uint32) for i, e in zip(whole, self.tok.encode_batch_fast(list(whole.values()), add_special_tokens=False), strict=True)}
+        parts = [alone[i] if i in alone else ids[edge[i] : edge[i + 1]] for i in range(len(texts))]
+        return np.concatenate(parts), np.array([len(p) for p in parts])
 
 
 @cache
@@ -223,25 +258,30 @@ def write(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, bits: boo
     return materialise(sorted_.mapInArrow(run, "part int, file int, n_docs long, n_ids long, data binary"), "token-files")
 
 
-def read(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids array<int>) of each document, decoded from the files alone; start counts the ids of all before it."""
+def read(files: DataFrame, ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids array<int>) of each document, decoded from the files alone; start counts the ids of all before it.
+    Without ids, their crc32 (unsigned, of 32-bit little-endian numbers) takes their place."""
     before, at = {}, 0
     for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():  # one row per range of documents
         before[r["part"]], at = at, at + r["n"]
+    last = "ids" if ids else "ids_crc32"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 f = File(data.as_py())
                 ends = np.cumsum(f.counts)
-                start, ids = ends - f.counts, f.ids().view(np.int32)
+                start, flat = ends - f.counts, f.ids()
                 for i in range(0, len(f.docs), 256):
                     s = slice(i, i + 256)
-                    values = ids[start[s][0] : ends[s][-1]]
-                    lists = pa.ListArray.from_arrays(pa.array(np.r_[start[s], ends[s][-1]] - start[s][0], pa.int32()), pa.array(values))
-                    yield pa.RecordBatch.from_arrays([pa.array(f.docs[s], pa.int64()), pa.array(start[s] + f.before + before[part]), pa.array(f.counts[s]), lists], names=["doc_id", "start", "n_tokens", "ids"])
+                    if ids:
+                        values = pa.array(flat[start[s][0] : ends[s][-1]].view(np.int32))
+                        got = pa.ListArray.from_arrays(pa.array(np.r_[start[s], ends[s][-1]] - start[s][0], pa.int32()), values)
+                    else:
+                        got = pa.array([zlib.crc32(flat[x:y]) for x, y in zip(start[s], ends[s], strict=True)], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(f.docs[s], pa.int64()), pa.array(start[s] + f.before + before[part]), pa.array(f.counts[s]), got], names=["doc_id", "start", "n_tokens", last])
 
-    return files.select("part", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
+    return files.select("part", "data").mapInArrow(run, f"doc_id long, start long, n_tokens long, {'ids array<int>' if ids else 'ids_crc32 long'}")
 
 
 def export(files: DataFrame, folder: str) -> int:
@@ -257,10 +297,4 @@ def export(files: DataFrame, folder: str) -> int:
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the ids of every document stand in the files, how many they are, and their crc32, all from the files."""
-    files = write(table(spark, sf_dir, "documents"))
-
-    @F.arrow_udf("long")
-    def crc(ids: pa.Array) -> pa.Array:
-        return pa.array([zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4")) for x in ids], pa.int64())
-
-    return read(files).select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+    return read(write(table(spark, sf_dir, "documents")), ids=False)
