@@ -22,7 +22,7 @@ def file_types(spark: SparkSession) -> DataFrame:
 
 
 def discover(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """(path, size, modified, suffix) of the files below a folder, without their contents."""
+    """(path, size, modified, suffix) of the files below a folder, without their contents; Spark lists no empty ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("suffix"))
 
