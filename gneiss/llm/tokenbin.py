@@ -30,7 +30,7 @@ from gneiss.llm._store import materialise, table, tune
 
 TOKENIZER, END, BLOCK, FILE_IDS, PART_ROWS = "byte_bpe_50k.json", 2, 1 << 16, 1 << 21, 8_000
 _MAGIC, _HEAD, _FOOT = b"GNBP", struct.Struct("<4sHHIQQQ"), struct.Struct("<Q4s")
-MEMO = 400_000  # units a worker remembers; beyond that it keeps the frequent ones
+MEMO = 900_000  # units a worker remembers; beyond that it keeps the frequent ones
 
 def planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
     """The byte planes, or bit planes, of 32-bit ids; the highest first."""
