@@ -127,7 +127,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.memo: dict[str, int] = {}
-        self.start, self.size, self.flat, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.start, self.size, self.flat, self.hits = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32), np.zeros(0, np.int32)
 
     def _shrink(self) -> None:
         """Forget the units that were met only once or twice."""
@@ -135,7 +135,7 @@ class Encoder:
         kept = np.flatnonzero(keep)
         self.memo = {u: n for n, u in enumerate(u for u, k in zip(self.memo, keep.tolist(), strict=True) if k)}
         size = self.size[kept]
-        ends = np.cumsum(size)
+        ends = np.cumsum(size, dtype=np.int32)
         self.flat = self.flat[np.repeat(self.start[kept] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
         self.start, self.size, self.hits = ends - size, size, self.hits[kept] // 2
         if len(self.memo) > MEMO // 2:
@@ -162,12 +162,12 @@ class Encoder:
             texts = [u[1:] if u[0] == "\0" else u if u[0] == "\n" else " " + u for u in other]
             order += other
             got += [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
+        size = np.fromiter(map(len, got), np.int32, len(got))
         n = len(self.flat)
-        self.start = np.concatenate([self.start, n + np.cumsum(size) - size])
+        self.start = np.concatenate([self.start, (n + np.cumsum(size) - size).astype(np.int32)])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
-        self.hits = np.concatenate([self.hits, np.zeros(len(got), np.int64)])
+        self.hits = np.concatenate([self.hits, np.zeros(len(got), np.int32)])
         self.memo.update(zip(order, range(len(self.memo), len(self.memo) + len(order)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,24 +178,26 @@ class Encoder:
         n_units, whole = [], {}
         for i, text in enumerate(texts):
             # no white space but single blanks and line feeds between words
-            if text and " ".join(text.split()) == text.replace("\n", " ") and "\0" not in text and not any(s in text for s in self.special):
-                parts = text.replace("\n", " \n").split(" ")
-                parts[0] = "\0" + parts[0]
-                units += parts
-                n_units.append(len(parts))
+            words = text.split()
+            if words and "\0" not in text and " ".join(words) == (text.replace("\n", " ") if "\n" in text else text) and not any(s in text for s in self.special):
+                if "\n" in text:
+                    words = text.replace("\n", " \n").split(" ")
+                words[0] = "\0" + words[0]
+                units += words
+                n_units.append(len(words))
             else:
                 n_units.append(0)
                 if text:
                     whole[i] = text
         memo = self.memo
-        fresh = [u for u in set(units) if u not in memo]
+        fresh = set(units).difference(memo)
         if fresh:
-            self._learn(fresh)
-        at = np.fromiter(map(memo.__getitem__, units), np.int64, len(units))
-        self.hits += np.bincount(at, minlength=len(self.hits))
+            self._learn(list(fresh))
+        at = np.fromiter(map(memo.__getitem__, units), np.int32, len(units))
+        self.hits += np.bincount(at, minlength=len(self.hits)).astype(np.int32)
         size = self.size[at]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ends = np.cumsum(size, dtype=np.int32)
+        ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
         edge = np.r_[0, ends][np.r_[0, np.cumsum(n_units)].astype(np.int64)]
         if not whole:
             return ids, np.diff(edge)
@@ -238,11 +240,10 @@ def write(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, bits: boo
 
         for batch in batches:
             doc, text = (c.to_pylist() for c in batch.columns)
-            for i in range(0, len(doc), 256):
-                got, size = enc.encode([t or "" for t in text[i : i + 256]])
-                ends = np.cumsum(size)
-                held.append(np.insert(got, ends, end))
-                ids += doc[i : i + 256]
+            for i in range(0, len(doc), 1024):
+                got, size = enc.encode([t or "" for t in text[i : i + 1024]])
+                held.append(np.insert(got, np.cumsum(size), end))
+                ids += doc[i : i + 1024]
                 counts.append(size + 1)
                 n += len(got) + len(size)
                 if n >= file_ids:
