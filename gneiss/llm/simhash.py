@@ -146,6 +146,8 @@ def candidates(fps: DataFrame, scheme: list[tuple[list[int], int]], bits: int, n
     With near > 0 each base also links to up to ``near`` of its nearest rows, for callers that verify links.
     A bucket with over ``hot`` bases is dealt to several tasks: each gets all its rows and a share of the bases.
     """
+    # a pair that meets in several partitions is looked at in the first of them only
+    earlier = [(np.uint64(sum(1 << (63 - b) for b in part)), t) for part, t in scheme]
     masks = []
     for part, t in scheme:
         w = len(part)
@@ -194,7 +196,7 @@ def candidates(fps: DataFrame, scheme: list[tuple[list[int], int]], bits: int, n
             ends = np.r_[new[1:], len(key)]
             any_base = np.logical_or.reduceat(base, new) if len(new) else np.zeros(0, bool)
             for s, e in zip(new[(ends - new > 1) & any_base], ends[(ends - new > 1) & any_base], strict=True):
-                yield from _bucket(node[s:e], fp[s:e].view(np.uint64), base[s:e], bits, near)
+                yield from _bucket(node[s:e], fp[s:e].view(np.uint64), base[s:e], bits, near, earlier[: int(key[s]) & 7])
 
         def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             got = list(links(cols))
@@ -219,12 +221,14 @@ def candidates(fps: DataFrame, scheme: list[tuple[list[int], int]], bits: int, n
     return dealt.repartition("key", "share").sortWithinPartitions("key", "share").mapInArrow(verify, "a long, b long")
 
 
-def _bucket(node: np.ndarray, fp: np.ndarray, base: np.ndarray, bits: int, near: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _bucket(node: np.ndarray, fp: np.ndarray, base: np.ndarray, bits: int, near: int, earlier: list[tuple[np.uint64, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     label = np.arange(len(node))
     for x in np.flatnonzero(base):
         d = np.bitwise_count(fp ^ fp[x])
         at = np.flatnonzero(d <= bits)
         at = at[node[at] != node[x]]
+        for mask, t in earlier:
+            at = at[np.bitwise_count((fp[at] ^ fp[x]) & mask) > t]
         if not len(at):
             continue
         at = at[np.argsort(d[at], kind="stable")]
