@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.functions import code, stem
 from gneiss.functions import text as X
-from gneiss.operators import chunking, dedup, graphs, ontology, retrieval, rollups, web
+from gneiss.operators import chunking, context, control, dedup, graphs, ontology, relations, retrieval, rollups, web
 from gneiss.plans import sql as Q
+from gneiss.sources import sinks
 from gneiss.sources.tables import documents, questions, table, vectors
 from gneiss.streaming import jobs
 
@@ -240,7 +242,7 @@ def collection_discovery(s, d):
 
 @query
 def like_search(s, d):
-    terms = questions(s, d).where("query_id < 10").select("query_id", F.explode(X.search_terms(F.col("text"), 6)).alias("term")).distinct()
+    terms = questions(s, d).select("query_id", F.explode(X.search_terms(F.col("text"), 6)).alias("term")).distinct()
     words = documents(s, d).select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
     return words.join(terms, "term").select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count("*").alias("hits"), F.min("doc_id").alias("first_doc"))
 
@@ -566,3 +568,178 @@ def page_links(s, d):
 @query
 def chunk_prose(s, d):
     return chunking.chunk(documents(s, d))
+
+
+@query
+def html_tables(s, d):
+    return web.table_rows(table(s, d, "pages")).select("page_id", "table_no", "row_no", F.array_join("cells", "|").alias("cells"))
+
+
+@query
+def page_content(s, d):
+    """What a page gives to a context: its tables, then its text."""
+    pages = table(s, d, "pages")
+    rows = web.table_rows(pages).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_no", "row_no", "cells"))), lambda r: F.array_join(r["cells"], " | ")), "\n").alias("tables"))
+    return web.extract(pages).select("page_id", "text").join(rows, "page_id", "left").select("page_id", context.compose(F.col("text"), F.col("tables")).alias("content"))
+
+
+@query
+def page_alternates(s, d):
+    amp = F.regexp_extract("html", r'(?i)<link[^>]*rel="?amphtml"?[^>]*href="([^"]+)"', 1)
+    return table(s, d, "pages").select("page_id", F.array_join(context.alternates(F.col("url"), amp), " ").alias("others"))
+
+
+@query
+def chunk_code(s, d):
+    return chunking.chunk(documents(s, d), "code")
+
+
+# ---------------------------------------------------------------- context of a question
+
+
+@query
+def porter_bm25(s, d):
+    found = retrieval.bm25(documents(s, d), questions(s, d), terms=stem.tokens, query_terms=stem.search_terms)
+    return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def artifact_packing(s, d):
+    files = documents(s, d).select(F.col("source").alias("scope"), "doc_id", F.octet_length("text").alias("bytes"), F.length("text").alias("chars"))
+    return context.pack_files(files).select("scope", "doc_id", "captured")
+
+
+@query
+def latest_revision(s, d):
+    docs = documents(s, d)
+    files = docs.select(F.col("source").alias("scope"), "doc_id", F.concat(F.lit("doc"), F.col("n_chars") % 40, F.lit(".txt")).alias("file_name"), F.col("doc_id").alias("created"))
+    wanted = docs.select(F.col("doc_id").alias("request"), F.col("source").alias("scope"), F.concat(F.lit(" Doc"), F.col("n_chars") % 60, F.when(F.col("doc_id") % 2 == 0, ".TXT").otherwise("")).alias("name"))
+    return context.resolve_file(wanted, files)
+
+
+@query
+def prompt_blocks(s, d):
+    hits = _fused(s, d).select("query_id", "rank", F.col("source").alias("file_name"), F.col("modified").cast("string").alias("modified"), F.col("doc_id").cast("string").alias("chunk"), F.round(F.col("score") * 1000000).cast("long").alias("score"), "text")
+    return context.prompt_blocks(hits).select("query_id", "rank", F.md5("block").alias("block"))
+
+
+@query
+def hydrate_facts(s, d):
+    return context.hydrate(_fused(s, d), graphs.mentions(documents(s, d)))
+
+
+@query
+def trace_node_cap(s, d):
+    return graphs.cap_nodes(hydrate_facts(s, d).select("query_id", "a", "b", "weight"), 15)
+
+
+# ---------------------------------------------------------------- relations of the vocabulary
+
+
+RELATION_RULES = {"alternativeTo": (["Licence"], ["Licence"], ["same_class", "symmetric"]), "supersedes": (["Licence"], ["Licence"], ["same_class"]), "governedBy": (["Vendor"], ["Licence"], [])}
+
+
+def _scanned(s, d):
+    return relations.scan(documents(s, d), VOCABULARY)
+
+
+@query
+def cascade_relations(s, d):
+    return relations.judged(_scanned(s, d), ontology.constraints(s, RELATION_RULES)).select("doc_id", "start", "subject", "predicate", "object", "decision", "why")
+
+
+@query
+def cascade_funnel(s, d):
+    return relations.funnel(_scanned(s, d), ontology.constraints(s, RELATION_RULES), 1)
+
+
+@query
+def trigger_filter(s, d):
+    return documents(s, d).select("doc_id", relations.has_trigger(F.col("text")).alias("relational"))
+
+
+@query
+def calibration(s, d):
+    out = relations.separation(table(s, d, "lineitem").select((F.col("l_returnflag") == "N").alias("valid"), F.col("l_discount").alias("score")))
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query
+def escalations(s, d):
+    """Relations by why they may not be settled cheaply."""
+    g = ontology.type_gate(_relations(s, d), ontology.constraints(s))
+    why = relations.must_escalate(F.when(F.col("predicate") == "USES", "supersedes").otherwise(F.col("predicate")), F.col("ok"), F.col("l_linenumber") < 5, F.col("predicate") == "OTHER")
+    return g.groupBy(why.alias("why")).agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- control, files and changes
+
+
+@query
+def critic_routes(s, d):
+    e = table(s, d, "events").where("event_type = 'view'").select("user_id", "event_id", "value")
+    return control.review(e, "user_id", "event_id", "value").select("user_id", "event_id", "review", "route")
+
+
+@query
+def reclaim_jobs(s, d):
+    o = table(s, d, "orders")
+    jobs_ = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "succeeded").when(F.col("o_orderstatus") == "O", "running").otherwise("claimed").alias("status"), F.col("o_orderdate").alias("heartbeat"))
+    return control.reclaim(jobs_, F.lit("1997-01-01").cast("timestamp")).select("o_orderkey", "status", "reclaimed")
+
+
+@query
+def field_stream(s, d):
+    """Every turn as a JSON object that arrives in pieces of seven characters, decoded again."""
+    c = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("run"), F.to_json(F.struct("role", F.col("text").alias("final_response"))).alias("j"))
+    tokens = c.select("run", F.posexplode(F.regexp_extract_all("j", F.lit("(?s).{1,7}"), F.lit(0))).alias("seq", "token"))
+    said = control.field_deltas(tokens, "final_response").groupBy("run").agg(F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("p"))
+    return said.select("run", F.md5(F.array_join(F.transform("p", lambda x: x["delta"]), "")).alias("field"))
+
+
+@query
+def span_conversations(s, d):
+    id_ = F.concat(F.lit("c"), F.col("user_id"))
+    attributes = F.when(F.col("event_type") == "view", F.create_map(F.lit("attributes.metadata.conversation_id"), id_)).when(F.col("event_type") == "click", F.create_map(F.lit("attributes.metadata"), F.concat(F.lit('{"conversation_id": "'), id_, F.lit('"}')))).when(
+        F.col("event_type") == "error", F.create_map(F.lit("attributes.tag.tags"), F.concat(F.lit('["turn", "conversation:'), id_, F.lit('"]')))
+    )
+    return table(s, d, "events").select("event_id", control.conversation_of(attributes).alias("conversation"))
+
+
+@query
+def upload_checks(s, d):
+    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    cap = F.when(F.col("lang") != "es", 20_000)
+    docs = documents(s, d).select("doc_id", F.length("text").alias("size"), "lang", n.alias("n"))
+    return docs.select("doc_id", control.upload_reason(F.col("lang"), F.col("size"), cap, F.col("n"), 40).alias("refused"))
+
+
+@query
+def code_scores(s, d):
+    q = code.code_quality(F.col("text"), "python")
+    return documents(s, d).select("doc_id", q["score"].alias("score"), F.array_join(q["warnings"], ",").alias("warnings"))
+
+
+@query
+def safe_names(s, d):
+    return table(s, d, "pages").select("page_id", code.safe_name(F.col("url")).alias("name"), code.vendored(F.col("url")).alias("vendored"))
+
+
+@query
+def merge_rows(s, d):
+    """Suppliers merged into customers by key; an account balance below zero leaves the old one."""
+    new = table(s, d, "supplier").select((F.col("s_suppkey") * 20).alias("c_custkey"), F.col("s_name").alias("c_name"), F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("c_acctbal"))
+    return sinks.merge(table(s, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), new, ["c_custkey"], ["c_acctbal"])
+
+
+@query
+def cascade_delete(s, d):
+    """Orders and lines that are left once the customers of the first nation are gone."""
+    gone = table(s, d, "customer").where("c_nationkey = 1").select("c_custkey")
+    o, l = sinks.cascade(gone, [(table(s, d, "orders"), "o_orderkey", "o_custkey"), (table(s, d, "lineitem"), "l_orderkey", "l_orderkey")])  # noqa: E741
+    return l.groupBy("l_orderkey").agg(F.count("*").alias("lines")).join(o.select("o_orderkey"), F.expr("o_orderkey = l_orderkey"), "full_outer").select(F.coalesce("o_orderkey", "l_orderkey").alias("o_orderkey"), F.coalesce("lines", F.lit(0)).alias("lines"))
+
+
+@query
+def tsv_report(s, d):
+    return sinks.report(table(s, d, "benchmark").select("item_id", "text"))
