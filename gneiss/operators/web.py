@@ -154,6 +154,39 @@ def ld_json(root: Node) -> str | None:
     return best
 
 
+# Where pages keep the state they start from, and the keys under which it holds bodies.
+STATES = [r"""id=["']__NEXT_DATA__["'][^>]*>""", r"window\.__INITIAL_STATE__\s*=", r"window\.__PRELOADED_STATE__\s*=", r"window\.__APOLLO_STATE__\s*=", r"window\.__NUXT__\s*=", r"window\.__data\s*=", r"""id=["']__NUXT_DATA__["'][^>]*>"""]
+BODY_KEYS = ["articlebody", "article_body", "storycontent", "story_content", "fullstory", "content_html", "bodyhtml", "body_html", "rendered", "story", "body", "content", "text", "description"]
+
+
+def embedded_state(html: str | None, deepest: int = 8) -> str | None:
+    """The longest body in the state that a page starts from: the first kind of state that holds one counts.
+
+    A body is over 400 characters under a body's key, or over 2000 of prose under any; lists are read in full.
+    """
+    html = html or ""
+    decoder = json.JSONDecoder()
+    for kind in STATES:
+        bodies: list[str] = []
+        for m in re.finditer(kind + r"\s*(?=\{)", html):
+            try:
+                stack = [("", decoder.raw_decode(html, m.end())[0], 0)]
+            except (ValueError, RecursionError):
+                continue
+            while stack:
+                key, x, depth = stack.pop()
+                if isinstance(x, str):
+                    if len(x) > 2000 and ("<p" in x or ". " in x) or len(x) > 400 and any(k in key for k in BODY_KEYS):
+                        bodies.append(x)
+                elif depth <= deepest and isinstance(x, dict):
+                    stack += [(str(k).lower().replace("-", "_"), v, depth + 1) for k, v in x.items()]
+                elif depth <= deepest and isinstance(x, list):
+                    stack += [("", v, depth + 1) for v in x if isinstance(v, (dict, list))]
+        if bodies:
+            return max(bodies, key=len)
+    return None
+
+
 def metadata(root: Node) -> dict[str, str]:
     keys = {"og:title": "title", "og:description": "description", "og:image": "image", "og:site_name": "site", "author": "author", "article:published_time": "published", "description": "description"}
     out: dict[str, str] = {}
@@ -211,7 +244,7 @@ def extract(pages: DataFrame, least: int = 80) -> DataFrame:
             rows = []
             for page_id, url, html in zip(p["page_id"], p["url"], p["html"], strict=True):
                 root, url = parse(html), url or ""
-                tries = [("ld_json", squeeze(ld_json(root) or "")), ("main_text", main_text(root))]
+                tries = [("ld_json", squeeze(ld_json(root) or "")), ("embedded_state", squeeze(parse(state).text(NOISE)) if (state := embedded_state(html)) else ""), ("main_text", main_text(root))]
                 good = [(s, t) for s, t in tries if len(t.split()) >= least and junk(t) < 0.70]
                 how, text = good[0] if good else max(tries, key=lambda x: len(x[1].split()) * (1 - 0.6 * junk(x[1])))
                 kind, sure = page_type(root, text)
