@@ -346,7 +346,7 @@ def entity_resolution(s, d):
     ms = graphs.mentions(documents(s, d))
     near = ms.groupBy("doc_id").agg(F.collect_set("name").alias("near"))
     full = ms.join(near, "doc_id").select((F.col("doc_id") * 16 + F.col("pos")).alias("mention_id"), "doc_id", F.col("source").alias("uri"), F.lit("PROPN").alias("label"), "name", F.array_except("near", F.array("name")).alias("near"), F.array().cast("array<string>").alias("keywords"))
-    found = graphs.components(graphs.resolution_links(full.where("length(name) >= 6")))
+    found = graphs.components(graphs.resolution_links(full))
     return found.groupBy("label").agg(F.count("*").alias("mentions"))
 
 
