@@ -6,12 +6,15 @@ unequal: dynamic programming gives them so that the expected cost of probes and
 fingerprints, is least; -1 leaves a partition out.  Each fingerprint is a base under its own value in each partition and a probe under
 the values within t_i; bases meet all rows of their bucket and are verified on all 64 bits.  Only links that join two parts of
 a bucket are emitted, so a bucket of n rows gives fewer than n, never all pairs.
+
+The near copies of the pipeline (deduplicate) are found by MinHash bands instead and compared by exact Jaccard similarity: at 0.8
+the fingerprints differ in too many bits.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,11 +26,14 @@ from pyspark.sql import functions as F
 
 from gneiss.llm._components import components
 from gneiss.llm._store import materialise, table, tune
-from gneiss.llm._words import LOWER
+from gneiss.llm._words import LOWER, mix
 
 SEED, WIDTH, BITS, HOT = 42, 4, 4, 20_000
 #: Costs of the plan: a row that is dealt to a bucket, and a comparison within one.
 ROW_COST, PAIR_COST = 1.0, 0.001
+#: Of the near copies of the pipeline: bands of minima, minima in each, and rows of a block of a large group.
+BANDS, ROWS, BLOCK = 64, 6, 2_000
+_FACTORS = np.random.default_rng(SEED).integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _LOWER = bytes(LOWER)
 
 
@@ -139,11 +145,10 @@ def _pick(fp: np.ndarray, part: list[int]) -> np.ndarray:
     return v
 
 
-def candidates(fps: DataFrame, scheme: list[tuple[list[int], int]], bits: int, near: int = 0, hot: int = HOT) -> DataFrame:
+def candidates(fps: DataFrame, scheme: list[tuple[list[int], int]], bits: int, hot: int = HOT) -> DataFrame:
     """Links (a, b) between the nodes of fps (node long, fp long) that differ in at most ``bits`` bits.
 
-    With near = 0 the links join exactly what all links would join, and a bucket gives fewer than it has rows.
-    With near > 0 each base also links to up to ``near`` of its nearest rows, for callers that verify links.
+    The links join exactly what all links would join, and a bucket gives fewer than it has rows.
     A bucket with over ``hot`` bases is dealt to several tasks: each gets all its rows and a share of the bases.
     """
     # a pair that meets in several partitions is looked at in the first of them only
@@ -196,7 +201,7 @@ def candidates(fps: DataFrame, scheme: list[tuple[list[int], int]], bits: int, n
             ends = np.r_[new[1:], len(key)]
             any_base = np.logical_or.reduceat(base, new) if len(new) else np.zeros(0, bool)
             for s, e in zip(new[(ends - new > 1) & any_base], ends[(ends - new > 1) & any_base], strict=True):
-                yield from _bucket(node[s:e], fp[s:e].view(np.uint64), base[s:e], bits, near, earlier[: int(key[s]) & 7])
+                yield from _bucket(node[s:e], fp[s:e].view(np.uint64), base[s:e], bits, earlier[: int(key[s]) & 7])
 
         def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             got = list(links(cols))
@@ -221,7 +226,7 @@ def candidates(fps: DataFrame, scheme: list[tuple[list[int], int]], bits: int, n
     return dealt.repartition("key", "share").sortWithinPartitions("key", "share").mapInArrow(verify, "a long, b long")
 
 
-def _bucket(node: np.ndarray, fp: np.ndarray, base: np.ndarray, bits: int, near: int, earlier: list[tuple[np.uint64, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _bucket(node: np.ndarray, fp: np.ndarray, base: np.ndarray, bits: int, earlier: list[tuple[np.uint64, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     label = np.arange(len(node))
     for x in np.flatnonzero(base):
         d = np.bitwise_count(fp ^ fp[x])
@@ -234,8 +239,8 @@ def _bucket(node: np.ndarray, fp: np.ndarray, base: np.ndarray, bits: int, near:
         at = at[np.argsort(d[at], kind="stable")]
         _, first = np.unique(label[at], return_index=True)  # the nearest of each part
         first = first[label[at[first]] != label[x]]
-        take = at[np.unique(np.r_[first, np.arange(min(near, len(at)))]).astype(int)]
-        label[np.isin(label, label[at[first]])] = label[x]
+        take = at[first]
+        label[np.isin(label, label[take])] = label[x]
         if len(take):
             yield np.full(len(take), node[x]), node[take]
 
@@ -270,43 +275,131 @@ def _sets(text: Column, width: int) -> Column:
     return run(text)
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two arrays of distinct longs; 1 if both are empty."""
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each of BANDS bands of ROWS minima of independent hashes of h; sets of Jaccard similarity j share a given key with
+    probability j ** ROWS, and empty sets share all."""
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(h), 1 << 12):
+        np.minimum(low, (_FACTORS[:, None] * h[None, i : i + (1 << 12)]).min(1), out=low)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in low.reshape(BANDS, ROWS).T:
+        keys = mix(keys ^ column)
+    return keys
+
+
+def _bands(text: Column, width: int) -> Column:
+    @F.arrow_udf("array<long>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([band_keys(shingle_hashes(x, width)).view(np.int64) for x in texts.to_pylist()], pa.list_(pa.int64()))
+
+    return run(text)
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the rows (key, node), sorted, to the first node of their key."""
+    last = [np.zeros(0, np.int64)] * 2  # the key of the row before, and the first node of it
+    for x in batches:
+        key, node = (np.r_[z, x.column(c).to_numpy(zero_copy_only=False)] for z, c in zip(last, ("key", "node"), strict=True))
+        if not len(key):
+            continue
+        new = np.r_[True, key[1:] != key[:-1]]
+        first = node[np.flatnonzero(new)][np.cumsum(new) - 1]
+        at = node != first
+        yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(first[at])], names=["a", "b"])
+        last = [key[-1:], first[-1:]]
+
+
+def linked(sets: list[np.ndarray], similarity: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join exactly what all pairs of at least this Jaccard similarity join, fewer than there are sets (of distinct values).
+    With ``side`` only pairs of different sides count.  Pairs already joined are not compared, all others are."""
+    n = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), n)
+    _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holders, ends = row[np.argsort(token, kind="stable")], np.cumsum(df)
+    mine = np.split(token, np.cumsum(n)[:-1])
+    label, links = np.arange(len(sets)), []
+    for x in range(len(sets) - 1):
+        away = label != label[x]
+        away[:x] = False  # those were held against x
+        if side is not None:
+            away &= side != side[x]
+        if not away.any():
+            continue
+        both = np.zeros(len(sets), np.int64)
+        for t in mine[x]:
+            both[holders[ends[t] - df[t] : ends[t]]] += 1
+        union = n + n[x] - both
+        at = np.flatnonzero(away & (both >= similarity * union - 1e-6 * union))
+        at = at[[union[y] == 0 or both[y] / union[y] >= similarity for y in at]] if len(at) else at
+        for y in at:
+            if label[y] != label[x]:
+                links.append((x, int(y)))
+                label[label == label[y]] = label[x]
+    return links
+
+
+def _compare(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            node, block = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
+            got = linked([h[2] for h in held], similarity, block if block.min() != block.max() else None)
+            if got:
+                a, b = node[np.array(got)].T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    @F.arrow_udf("double")
-    def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            p, q = (z.values.to_numpy(zero_copy_only=False) for z in (p, q))
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(both / (len(p) + len(q) - both) if len(p) + len(q) else 1.0)
-        return pa.array(out, pa.float64())
+        now = None
+        for x in batches:
+            sets = x.column("set")
+            for i, key in enumerate(zip(*(x.column(c).to_pylist() for c in ("group", "i", "j")), strict=True)):
+                if key != now and held:
+                    yield from out()
+                    held = []
+                now = key
+                held.append((x.column("node")[i].as_py(), x.column("block")[i].as_py(), sets[i].values.to_numpy(zero_copy_only=False)))
+        if held:
+            yield from out()
 
-    return run(a, b)
+    return run
+
+
+def similar(docs: DataFrame, groups: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join what all pairs of one group with at least this Jaccard similarity join.
+
+    docs has (node, set), groups (node, label).  A group with over ``block`` rows is cut into blocks by the node, and each pair of
+    blocks is one comparison, so that a task holds two blocks at most; all pairs of the group meet.
+    """
+    large = groups.groupBy("label").count().where(F.col("count") > block).select("label", F.ceil(F.col("count") / block).cast("int").alias("g"))
+    cut = groups.join(F.broadcast(large), "label", "left").select("node", F.col("label").alias("group"), F.coalesce("g", F.lit(1)).alias("g"))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = cut.select("node", "group", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(docs, "node")
+    return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_compare(similarity), "a long, b long")
 
 
-def deduplicate(docs: DataFrame, width: int = 5, bits: int = 12, similarity: float = 0.8, near: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near copies: the one with the smallest id (null last), its first text on ties.
 
-    Equal texts are one class.  Links of at most ``bits`` bits are verified: the Jaccard similarity of the sets of
-    width-word shingles must reach ``similarity``.  Each text is held against the nearest ``near`` of a bucket and against the nearest
-    of each part of it.  Null, empty and blank texts have no shingles and form one group with each other only.
+    Equal texts are one class.  Texts are linked if the Jaccard similarity of their sets of width-word shingles reaches ``similarity``.
+    Texts that share a key of band_keys(), at once or through others, form a group, and within a group all pairs that are not joined
+    yet are compared by their sets.  Two texts of similarity j share no key with probability (1 - j ** ROWS) ** BANDS: 4e-9 at 0.8.
+    Null, empty and blank texts have no shingles and form one group with each other only.
     """
     spark = docs.sparkSession
     tune(spark)
     names = docs.columns
     keyed = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    slim = materialise(keyed.select(F.col(id_col).alias("id"), F.col("__node").alias("node"), fingerprint(F.col(text_col), width).alias("fp")), "fingerprints")
-    classes = materialise(slim.groupBy("node", "fp").agg(F.min("id").alias("id")), "classes")
-    found = materialise(candidates(classes, plan(classes.select("fp").distinct(), bits), bits, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    slim = materialise(keyed.select(F.col(id_col).alias("id"), F.col("__node").alias("node"), _bands(F.col(text_col), width).alias("keys")), "bands")
+    classes = materialise(slim.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "classes")
+    keys = classes.select("node", F.explode("keys").alias("key"))
+    groups = materialise(components(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long")), "groups")
     keyed = keyed.withColumn("__k", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
     first = classes.select(F.col("node").alias("__node"), F.coalesce("id", F.lit(-(1 << 63))).alias("__k"))
-    nodes = found.select(F.explode(F.array("a", "b")).alias("__node")).distinct().join(first, "__node")
+    nodes = groups.select(F.col("node").alias("__node")).join(first, "__node")
     # one row of each text: its hash and smallest id are a key without hot values
     texts = keyed.select("__node", "__k", text_col).join(nodes, ["__node", "__k"], "left_semi").dropDuplicates(["__node"])
     sets = materialise(texts.select(F.col("__node").alias("node"), _sets(F.col(text_col), width).alias("set")), "shingles")
-    pairs = found.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    label = components(pairs.where(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"))
+    label = components(similar(sets, groups, similarity))
     joined = classes.join(label, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     best = joined.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))).alias("m"))
     best = best.select(F.col("m.node").alias("__node"), F.coalesce("m.id", F.lit(-(1 << 63))).alias("__k"))

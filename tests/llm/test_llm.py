@@ -238,6 +238,35 @@ def test_deduplicate_keeps_one_of_each_group(spark, folders):
     assert len({texts[k] for k in kept if k is not None}) == len([k for k in kept if k is not None])
 
 
+def exact_groups(texts):
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    return joined(sets, lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+
+
+def edited(r, words, n, tag):
+    words = list(words)
+    for at in r.choice(len(words), n, replace=False):
+        words[at] = f"{tag}x{at}"
+    return words
+
+
+def test_deduplicate_dense_group(spark):
+    """Texts of one dense group, most of them just below the similarity: only exact comparison of all pairs tells which are joined."""
+    r = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(500)]
+    texts = [" ".join(edited(r, base, 7, f"t{k}")) for k in range(200)]
+    root = exact_groups(texts)
+    assert 20 < len(set(root)) < 180
+    want = sorted(min(i for i, q in enumerate(root) if q == g) for g in set(root))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.deduplicate(docs).collect()) == want
+    # the same where the group is cut into blocks
+    sets = docs.select(F.col("doc_id").alias("node"), simhash._sets(F.col("text"), 5).alias("set"))
+    links = simhash.similar(sets, docs.select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("label")), 0.8, block=30)
+    lab = {x.node: x.label for x in _components.components(links).collect()}
+    assert sorted(i for i in range(len(texts)) if lab.get(i, i) == i) == want
+
+
 @pytest.mark.parametrize("which", ["awkward", "driver"])
 def test_token_counts(spark, folders, which):
     model, safe = tokencount._model(tokencount._path(tokencount.MODEL))
