@@ -29,10 +29,12 @@ FEATURES, THRESHOLD, SIMILARITY, TRAIN_NEGATIVES, UNKNOWN = 2048, 0.6, 0.6, 400,
 TEMPLATES = {
     "mit": [
         "released under the mit license", "licensed under the mit license", "this project is available under the terms of the mit license see the license file", "spdx license identifier mit",
+        "mit lizenz", "dieses projekt steht unter der mit lizenz",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
     ],
     "apache": [
         "licensed under the apache license version 2 0", "released under the apache license 2 0", "this file is distributed under the apache software license version 2 0", "spdx license identifier apache 2 0",
+        "apache 2 0",
         "you may not use this file except in compliance with the apache license you may obtain a copy of the license at www apache org licenses license 2 0",
     ],
     "gpl": [
@@ -44,6 +46,7 @@ TEMPLATES = {
     ],
     "bsd": [
         "released under the bsd 3 clause license", "licensed under the bsd license", "distributed under the two clause bsd license", "spdx license identifier bsd 3 clause",
+        "bsd 3 clause",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     ],
     "mpl": [
@@ -62,6 +65,7 @@ TEMPLATES = {
         "this work is dedicated to the public domain", "released into the public domain", "licensed under cc0 1 0 universal", "no rights reserved cc0 public domain dedication", "this is free and unencumbered software released into the public domain",
     ],
     "proprietary": [
+        "alle rechte vorbehalten", "todos los derechos reservados",
         "all rights reserved", "copyright the author all rights reserved", "proprietary and confidential unauthorized copying of this file is prohibited", "no part of this publication may be reproduced without prior written permission of the publisher",
     ],
 }
@@ -74,8 +78,9 @@ OTHERWISE = [
     "the attribution of the painting is disputed", "a commercial licence is needed to drive a lorry", "the reserved seats were all taken", "version 2 0 of the plan was published", "the domain of the function is the real line",
     "creative people gather at the commons every friday", "the clause in the contract was void", "free software is discussed at the meetup", "they were granted asylum free of charge",
 ]
-#: A paragraph without any of these, in lower case, is unknown at once.
-CUES = "licen[sc]|copyright|rights reserved|public domain|permission|redistribut|spdx|cc[ -]by|cc0|creative commons|gpl|proprietary|mozilla public|unencumbered"
+#: A paragraph without any of these is no candidate.  Every template has one, as the tests check; MIT alone counts in capitals only, for
+#: "mit" is a common German word.
+CUES = r"\bMIT\b|(?i)licen[sc]|lizenz|rechte vorbehalten|derechos reservados|\bapache\b|\bbsd\b|\bmpl\b|copyright|rights reserved|public domain|permission|redistribut|spdx|cc[ -]by|cc0|creative commons|gpl|proprietary|mozilla public|unencumbered"
 CLASSES = [*TEMPLATES, UNKNOWN]
 
 
@@ -155,7 +160,7 @@ class Model:
 def train(docs: DataFrame, negatives: int = TRAIN_NEGATIVES) -> Model:
     """A model from the templates and from paragraphs of docs (text) without cue words; at most ``negatives`` are collected, the first in
     the order of their hash."""
-    lines = docs.select(F.explode(F.split(F.substring("text", 1, 2000), "\n")).alias("p")).where(F.length("p").between(20, 400) & ~F.lower("p").rlike(CUES))
+    lines = docs.select(F.explode(F.split(F.substring("text", 1, 2000), "\n")).alias("p")).where(F.length("p").between(20, 400) & ~F.col("p").rlike(CUES))
     some = [r["p"] for r in lines.orderBy(F.xxhash64("p"), "p").limit(negatives).collect()]
     return Model([*_made(), *((p, len(CLASSES) - 1) for p in some)])
 
@@ -172,8 +177,8 @@ def similarity(words: set[str], family: int) -> float:
 
 def paragraphs(text: Column) -> Column:
     """Lines with a cue word, trimmed; an empty array for null."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.lower(p).rlike(CUES))
-    return F.when(F.lower(F.coalesce(text, F.lit(""))).rlike(CUES), lines).otherwise(F.array().cast("array<string>"))
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: p.rlike(CUES))
+    return F.when(F.coalesce(text, F.lit("")).rlike(CUES), lines).otherwise(F.array().cast("array<string>"))
 
 
 def classify(paragraph: Column, model: Model) -> Column:

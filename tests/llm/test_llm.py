@@ -340,6 +340,16 @@ def test_licences(spark, folders):
     assert not got[2][0].confirmed
 
 
+def test_licence_gate_keeps_every_template(spark):
+    lines = [t for ts in licenses.TEMPLATES.values() for t in ts] + ["Released under the MPL 2.0.", "Apache-2.0", "BSD-3-Clause", "Dual MIT/Apache-2.0", "MIT-Lizenz", "Alle Rechte vorbehalten", "MIT"]
+    df = spark.createDataFrame([(x,) for x in lines], "text string")
+    assert [r.text for r in df.where(F.size(licenses.paragraphs(F.col("text"))) == 0).collect()] == []
+    model = licenses.train(df.limit(0))
+    got = {r.text: r["__licences"][0] for r in licenses.scan(df, model).collect()}
+    want = {"Released under the MPL 2.0.": "mpl", "Apache-2.0": "apache", "BSD-3-Clause": "bsd", "MIT-Lizenz": "mit", "Alle Rechte vorbehalten": "proprietary"}
+    assert {x: got[x].family for x in want if got[x].confirmed} == want
+
+
 def test_shares():
     assert mixing.share_out(100, [1, 1], [10, 1000]) == [10, 90]
     assert mixing.share_out(100, [3, 1], [1000, 1000]) == [75, 25]
