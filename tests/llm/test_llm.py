@@ -267,6 +267,19 @@ def test_deduplicate_dense_group(spark):
     assert sorted(i for i in range(len(texts)) if lab.get(i, i) == i) == want
 
 
+def test_deduplicate_pairs_near_the_bound(spark):
+    """Groups of two of similarity 0.80 to 0.83: one of each stays."""
+    r, texts = np.random.default_rng(6), []
+    while len(texts) < 300:
+        words = [f"p{len(texts)}w{i}" for i in range(200)]
+        pair = [" ".join(words), " ".join(edited(r, words, 4, "y"))]
+        a, b = (set(simhash.shingle_hashes(t, 5).tolist()) for t in pair)
+        if 0.8 <= len(a & b) / len(a | b) <= 0.83:
+            texts += pair
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.deduplicate(docs).collect()) == list(range(0, 300, 2))
+
+
 @pytest.mark.parametrize("which", ["awkward", "driver"])
 def test_token_counts(spark, folders, which):
     model, safe = tokencount._model(tokencount._path(tokencount.MODEL))
