@@ -12,7 +12,9 @@ are rows of a Parquet table in the shared folder, so Spark commits them as a who
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,10 +29,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm._store import materialise, table, tune
+from gneiss.llm._words import blocks, mix
 
 TOKENIZER, END, BLOCK, FILE_IDS, PART_ROWS = "byte_bpe_50k.json", 2, 1 << 16, 1 << 21, 8_000
 _MAGIC, _HEAD, _FOOT = b"GNBP", struct.Struct("<4sHHIQQQ"), struct.Struct("<Q4s")
-MEMO = 900_000  # units a worker remembers; beyond that it keeps the frequent ones
+MEMO, SHORT = 900_000, 24  # units a worker remembers (beyond that it keeps the frequent ones), and their longest in bytes
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_VISIBLE = np.array([0x21 <= b <= 0x7E or b >= 0x80 for b in range(256)])
+_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+_MARK = np.array([0x21 <= b <= 0x7E and not chr(b).isalnum() and b != 0x27 for b in range(256)])
+_LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+#: The printable character that stands for each byte in a byte-level vocabulary.
+_SHOWN = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+_SHOWN |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: White space beyond ASCII, by its first byte in UTF-8.
+_WIDE_BLANKS = [(lead, {c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"}) for lead in (0xC2, 0xE1, 0xE2, 0xE3)]
+
 
 def planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
     """The byte planes, or bit planes, of 32-bit ids; the highest first."""
@@ -105,105 +119,176 @@ class File:
 class Encoder:
     """Whole texts to ids with the tokenizers library.
 
-    The pattern of a byte-level vocabulary never joins what stands on both sides of a single plain blank or line feed between two visible
-    characters.  A text is cut there, and each unit is remembered once the library has given its ids: units of letters, with a
-    mark after them at most, are whole matches of the pattern and go to the library's model at once, others through its whole encoding.  A text
-    with other white space is encoded whole, and so is one that holds a special token's string.
+    Texts are cut into units of bytes at places that no match of the byte-level pattern spans: before a single plain blank or line feed
+    between two visible characters, and between a letter and an ASCII mark other than the apostrophe.  A unit goes to the library the first
+    time it is met; its ids are then found by its bytes, which three 64-bit numbers and the length hold in full up to SHORT bytes.
+    Longer units are only remembered within a block.  A text that holds a special token's string is one unit, and so is every text if
+    the vocabulary's pattern is another one.
     """
 
     def __init__(self, path: str):
         import tokenizers
 
         self.tok = tokenizers.Tokenizer.from_file(path)
-        self.model = self.tok.model
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        # the printable character that stands for each byte
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = iter(range(256, 512))
-        self.shown = {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
-        self.mark = {c: [self.model.token_to_id(c)] for c in ".,;:!?"}
-        self.feed = [self.model.token_to_id(self.shown[10])]
-        self.clear()
-
-    def clear(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.start, self.size, self.flat, self.hits = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32), np.zeros(0, np.int32)
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        pre = json.loads(self.tok.to_str())
+        self.cuts = pre["normalizer"] is None and pre["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self._set(np.zeros((4, 0), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _set(self, keys: np.ndarray, start: np.ndarray, size: np.ndarray, flat: np.ndarray, hits: np.ndarray) -> None:
+        """Remember these units alone: their bytes as four numbers, and where their ids stand in flat."""
+        self.keys, self.start, self.size, self.flat, self.hits = keys, start, size, flat, hits
+        bits = max(16, int(4 * keys.shape[1]).bit_length())
+        self.slots = np.full(1 << bits, -1, np.int32)
+        self._place(np.arange(keys.shape[1]))
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        h = mix(keys[0] ^ mix(keys[1] ^ mix(keys[2] ^ keys[3] * np.uint64(0x9E3779B97F4A7C15))))
+        return (h & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def _place(self, new: np.ndarray) -> None:
+        """Enter units into the table of slots, by open addressing."""
+        at, mask = self._hash(self.keys[:, new]), len(self.slots) - 1
+        while len(new):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = new[free]  # of several units one stays
+            left = self.slots[at] != new
+            new, at = new[left], (at[left] + 1) & mask
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each unit, -1 for one that is not known."""
+        out, mask = np.full(keys.shape[1], -1, np.int64), len(self.slots) - 1
+        todo, at = np.arange(keys.shape[1]), self._hash(keys)
+        while len(todo):
+            unit = self.slots[at].astype(np.int64)
+            some = unit >= 0
+            todo, at, unit = todo[some], at[some], unit[some]
+            same = np.ones(len(todo), bool)
+            for k in range(4):
+                same &= self.keys[k][unit] == keys[k][todo]
+            out[todo[same]] = unit[same]
+            todo, at = todo[~same], (at[~same] + 1) & mask
+        return out
 
     def _shrink(self) -> None:
-        """Forget the units that were met only once or twice."""
-        keep = self.hits > 2
-        kept = np.flatnonzero(keep)
-        self.memo = {u: n for n, u in enumerate(u for u, k in zip(self.memo, keep.tolist(), strict=True) if k)}
+        """Forget the units that were met only once or twice, or all if most were met more often."""
+        kept = np.flatnonzero(self.hits > 2)
+        if len(kept) > MEMO // 2:
+            kept = kept[:0]
         size = self.size[kept]
-        ends = np.cumsum(size, dtype=np.int32)
-        self.flat = self.flat[np.repeat(self.start[kept] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        self.start, self.size, self.hits = ends - size, size, self.hits[kept] // 2
-        if len(self.memo) > MEMO // 2:
-            self.clear()
-
-    def _learn(self, units: list[str]) -> None:
-        """Units as encode() cuts them: after a line feed, at the beginning of a text (with a zero byte before it), else after a blank."""
-        cut, blank, shown, marks = self.model.tokenize, self.shown[32], self.shown, self.mark
-        order, got, other = [], [], []
-        for u in units:
-            word, end = (u[:-1], marks[u[-1]]) if u[-1] in marks else (u, None)
-            if word.isalpha():
-                ids = [t.id for t in cut(blank + (word if word.isascii() else word.encode().decode("latin-1").translate(shown)))]
-            elif word and word[0] < " " and word[1:].isalpha():
-                ids = [t.id for t in cut(word[1:] if word.isascii() else word[1:].encode().decode("latin-1").translate(shown))]
-                if word[0] == "\n":
-                    ids = self.feed + ids
+        ends = np.cumsum(size)
+        flat = self.flat[np.repeat(self.start[kept] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self._set(self.keys[:, kept], ends - size, size, flat, self.hits[kept] // 2)
+
+    def _ids_of(self, data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of each unit, end to end, and how many each has.
+
+        A blank and letters, or letters alone, are one match of the pattern: they go to the library's model at once, others through its whole encoding."""
+        got: list[list[int]] = []
+        other: list[int] = []
+        cut, shown, blank = self.tok.model.tokenize, _SHOWN, _SHOWN[0x20]
+        for i, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+            unit = data[a:b]
+            word = unit[1:] if unit[:1] == b" " else unit
+            if self.cuts and word.isalpha():
+                got.append([t.id for t in cut(blank + word.decode() if word is not unit else word.decode())])
+            elif self.cuts and _LATIN(word):
+                got.append([t.id for t in cut(unit.decode("latin-1").translate(shown))])
             else:
-                other.append(u)
-                continue
-            order.append(u)
-            got.append(ids + end if end else ids)
+                got.append([])
+                other.append(i)
         if other:
-            texts = [u[1:] if u[0] == "\0" else u if u[0] == "\n" else " " + u for u in other]
-            order += other
-            got += [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int32, len(got))
-        n = len(self.flat)
-        self.start = np.concatenate([self.start, (n + np.cumsum(size) - size).astype(np.int32)])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
-        self.hits = np.concatenate([self.hits, np.zeros(len(got), np.int32)])
-        self.memo.update(zip(order, range(len(self.memo), len(self.memo) + len(order)), strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts end to end, and how many each has."""
-        if len(self.memo) > MEMO:
+            for i, e in zip(other, self.tok.encode_batch_fast([data[start[i] : end[i]].decode() for i in other], add_special_tokens=False), strict=True):
+                got[i] = e.ids
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())), size
+
+    def _learn(self, data: bytes, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        flat, size = self._ids_of(data, start, end)
+        n = self.keys.shape[1]
+        first = len(self.flat) + np.cumsum(size) - size
+        keys, first, size, flat, hits = np.concatenate([self.keys, keys], 1), np.r_[self.start, first], np.r_[self.size, size], np.r_[self.flat, flat], np.r_[self.hits, np.zeros(len(size), np.int64)]
+        if 3 * keys.shape[1] > len(self.slots):
+            self._set(keys, first, size, flat, hits)
+            return
+        self.keys, self.start, self.size, self.flat, self.hits = keys, first, size, flat, hits
+        self._place(np.arange(n, keys.shape[1]))
+
+    def _units(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where the units of a block of texts begin, in ascending order."""
+        n = len(data)
+        begins = np.zeros(n + 1, bool)
+        if self.cuts and n > 2:
+            seen = _VISIBLE[data]
+            for lead in _WIDE_BLANKS:  # none of the corpus may hold them, so first look for the lead byte
+                for at in np.flatnonzero(data[:-1] == lead[0]).tolist() if lead[0] in data else ():
+                    size = 2 if lead[0] == 0xC2 else 3
+                    if bytes(data[at : at + size]) in lead[1]:
+                        seen[at : at + size] = False
+            gap = (data[1:-1] == 0x20) | (data[1:-1] == 0x0A)
+            begins[1 : n - 1] = gap & seen[:-2] & seen[2:]
+            letter = _LETTER[data]
+            letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+            mark = _MARK[data]
+            begins[1:n] |= (letter[:-1] & mark[1:]) | (mark[:-1] & _LETTER[data[1:]])
+            raw = data.tobytes() if any(self.special) else b""
+            for s in filter(None, self.special):
+                at = raw.find(s)
+                while at >= 0:
+                    k = int(np.searchsorted(offsets, at, side="right"))
+                    begins[offsets[k - 1] : offsets[k]] = False
+                    at = raw.find(s, int(offsets[k]))
+        begins[offsets] = True
+        return np.flatnonzero(begins[:n])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each has; null is empty."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for _, _, data, offsets in blocks(texts, 1 << 20):
+            got, size = self._block(data, offsets)
+            ids.append(got)
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.keys.shape[1] > MEMO:
             self._shrink()
-        units: list[str] = []
-        n_units, whole = [], {}
-        for i, text in enumerate(texts):
-            # no white space but single blanks and line feeds between words
-            words = text.split()
-            if words and "\0" not in text and " ".join(words) == (text.replace("\n", " ") if "\n" in text else text) and not any(s in text for s in self.special):
-                if "\n" in text:
-                    words = text.replace("\n", " \n").split(" ")
-                words[0] = "\0" + words[0]
-                units += words
-                n_units.append(len(words))
-            else:
-                n_units.append(0)
-                if text:
-                    whole[i] = text
-        memo = self.memo
-        fresh = set(units).difference(memo)
-        if fresh:
-            self._learn(list(fresh))
-        at = np.fromiter(map(memo.__getitem__, units), np.int32, len(units))
-        self.hits += np.bincount(at, minlength=len(self.hits)).astype(np.int32)
-        size = self.size[at]
-        ends = np.cumsum(size, dtype=np.int32)
-        ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
-        edge = np.r_[0, ends][np.r_[0, np.cumsum(n_units)].astype(np.int64)]
-        if not whole:
-            return ids, np.diff(edge)
-        alone = {i: np.array(e.ids, np.uint32) for i, e in zip(whole, self.tok.encode_batch_fast(list(whole.values()), add_special_tokens=False), strict=True)}
-        parts = [alone[i] if i in alone else ids[edge[i] : edge[i + 1]] for i in range(len(texts))]
-        return np.concatenate(parts), np.array([len(p) for p in parts])
+        start = self._units(data, offsets)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        end = np.r_[start[1:], len(data)]
+        n, raw = end - start, data.tobytes()
+        wide = np.ndarray(len(data) + 16, "<u8", raw + bytes(24), strides=(1,)).copy()
+        short = n <= SHORT
+        at, length = start[short], n[short]
+        keys = np.empty((4, len(at)), np.uint64)
+        for k in range(3):
+            keys[k] = wide[np.minimum(at + 8 * k, len(data) + 8)] & _LOW_BYTES[np.clip(length - 8 * k, 0, 8)]
+        keys[3] = length
+        unit = self._find(keys)
+        fresh = np.flatnonzero(unit < 0)
+        if len(fresh):
+            order = fresh[np.lexsort(keys[:, fresh])]
+            first = order[np.r_[True, (keys[:, order[1:]] != keys[:, order[:-1]]).any(0)]]
+            first = np.sort(first)
+            self._learn(raw, keys[:, first], at[first], at[first] + length[first])
+            unit[fresh] = self._find(keys[:, fresh])
+        self.hits += np.bincount(unit, minlength=len(self.hits))
+        where, size, flat = np.empty(len(start), np.int64), np.empty(len(start), np.int64), self.flat
+        where[short], size[short] = self.start[unit], self.size[unit]
+        if not short.all():
+            far = np.flatnonzero(~short)
+            seen: dict[bytes, int] = {}
+            which = [seen.setdefault(raw[a:b], len(seen)) for a, b in zip(start[far].tolist(), end[far].tolist(), strict=True)]
+            head = np.zeros(len(seen), np.int64)
+            head[which[::-1]] = far[::-1]
+            more, more_size = self._ids_of(raw, start[head], end[head])
+            size[far] = more_size[which]
+            where[far] = (len(flat) + np.cumsum(more_size) - more_size)[which]
+            flat = np.r_[flat, more]
+        ends = np.cumsum(size)
+        ids = flat[np.repeat(where - (ends - size), size) + np.arange(int(ends[-1]))]
+        return ids, np.diff(np.r_[0, ends][np.searchsorted(start, offsets)])
 
 
 @cache
@@ -239,9 +324,9 @@ def write(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, bits: boo
             return pa.RecordBatch.from_arrays(cols, names=["part", "file", "n_docs", "n_ids", "data"])
 
         for batch in batches:
-            doc, text = (c.to_pylist() for c in batch.columns)
+            doc = batch.column(0).to_pylist()
             for i in range(0, len(doc), 1024):
-                got, size = enc.encode([t or "" for t in text[i : i + 1024]])
+                got, size = enc.encode(batch.column(1).slice(i, 1024))
                 held.append(np.insert(got, np.cumsum(size), end))
                 ids += doc[i : i + 1024]
                 counts.append(size + 1)

@@ -173,12 +173,24 @@ def test_encoder_units_match_the_library():
     import random
 
     e, r = tokenbin._encoder(tokenbin._path(tokenbin.TOKENIZER)), random.Random(1)
-    parts = ["a", "Z", "é", "ß", "中", "1", "٣", "'s", "n't", ",", ".", "!!", " ", " ", "\n", "  ", "\t", " ", "　", "\x1c", "\0", "<|endoftext|>", "😀", "_", "ʰ"]
-    for _ in range(3000):
+    parts = ["a", "Z", "é", "ß", "×", "÷", "中", "1", "٣", "'s", "'", "n't", ",", ".", "!!", "$", " ", " ", " ", "\n", "\n", "  ", "\t", "<|endoftext|>", "😀", "_", "ʰ", "\u0301", "“", "word", " aunitwithmorethantwentyfourbytes"]
+    parts += [*map(chr, range(0x20)), *map(chr, range(0x7F, 0xA1)), "\u1680", "\u2003", "\u2028", "\u202f", "\u3000"]
+    for _ in range(4000):
         ts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(3)]
-        ids, n = e.encode(ts)
+        ids, n = e.encode(pa.array(ts))
         want = [x.ids for x in e.tok.encode_batch(ts, add_special_tokens=False)]
+        assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want)), ts
+
+
+def test_encoder_forgets_and_learns_again(monkeypatch):
+    monkeypatch.setattr(tokenbin, "MEMO", 50)
+    e = tokenbin.Encoder(tokenbin._path(tokenbin.TOKENIZER))
+    for k in range(30):
+        ts = [None, "", " ".join(f"alpha{i % 7} beta{k}x{i} ünits\x02bar. foo \x02bar." for i in range(40)), "a b" * 3000]
+        ids, n = e.encode(pa.array(ts))
+        want = [x.ids for x in e.tok.encode_batch([t or "" for t in ts], add_special_tokens=False)]
         assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+        assert e.keys.shape[1] < 400
 
 
 def slow_fingerprint(text, width=4):
