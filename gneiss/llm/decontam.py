@@ -8,6 +8,8 @@ again, down to 5 words, matches being found by running Karp-Rabin.  Tiles may st
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm._store import table, tune
+from gneiss.llm._store import materialise, table, tune
 from gneiss.llm._words import LOWER, NOT_ALNUM, blocks, words
 
 SEED_WORDS, COVERAGE, BLOCK_WORDS = 5, 0.5, 2_000_000
@@ -78,38 +80,44 @@ def _rolling(t: list[int], s: int) -> list[int]:
 
 
 def tiles(pattern: list[int], text: list[int], least: int) -> list[tuple[int, int, int]]:
-    """(place in pattern, place in text, length) of the tiles, the longest first; ties go to the earliest in pattern, then in text."""
-    p_mark, t_mark = [False] * len(pattern), [False] * len(text)
-    out, s = [], max(least, min(len(pattern), len(text)))
-    while s >= least:
-        # runs of s unmarked words, by hash
-        longest, found = 0, []
-        if min(len(pattern), len(text)) >= s:
-            by: dict[int, list[int]] = {}
-            free = _free(t_mark, s)
-            for j, h in enumerate(_rolling(text, s)):
-                if free[j]:
-                    by.setdefault(h, []).append(j)
-            free = _free(p_mark, s)
-            for i, h in enumerate(_rolling(pattern, s)):
-                for j in by.get(h, ()) if free[i] else ():
-                    k = 0
-                    while i + k < len(pattern) and j + k < len(text) and pattern[i + k] == text[j + k] and not p_mark[i + k] and not t_mark[j + k]:
-                        k += 1
-                    if k >= s:
-                        found.append((-k, i, j))
-                        longest = max(longest, k)
-        for k, i, j in sorted(found):
-            k = -k
-            if not any(p_mark[i : i + k]) and not any(t_mark[j : j + k]):
-                p_mark[i : i + k] = t_mark[j : j + k] = [True] * k
-                out.append((i, j, k))
-        if s == least and not found:
+    """(place in pattern, place in text, length) of the tiles: again and again the longest run of unmarked words that both have, the
+    earliest in pattern, then in text, where several are as long; down to ``least`` words.
+
+    Runs are looked for by lengths s that halve from round to round.  A round lists all runs of s unmarked words or more, by their running
+    hashes, and takes the longest first; what a tile has cut off one of them goes back to the list with its new length.
+    """
+    p_mark, t_mark, out = [False] * len(pattern), [False] * len(text), []
+    s = max(least, min(len(pattern), len(text)))
+    while min(len(pattern), len(text)) >= least:
+        by: dict[int, list[int]] = {}
+        for j, (h, free) in enumerate(zip(_rolling(text, s), _free(t_mark, s), strict=True)):
+            if free:
+                by.setdefault(h, []).append(j)
+        heap = []
+        for i, (h, free) in enumerate(zip(_rolling(pattern, s), _free(p_mark, s), strict=True)):
+            for j in by.get(h, ()) if free else ():
+                if i and j and pattern[i - 1] == text[j - 1] and not p_mark[i - 1] and not t_mark[j - 1]:
+                    continue  # inside a longer run
+                k = 0
+                while i + k < len(pattern) and j + k < len(text) and pattern[i + k] == text[j + k] and not p_mark[i + k] and not t_mark[j + k]:
+                    k += 1
+                if k >= s:
+                    heap.append((-k, i, j))
+        heapq.heapify(heap)
+        while heap:
+            k, i, j = heapq.heappop(heap)
+            taken = [x for x in range(-k) if p_mark[i + x] or t_mark[j + x]]
+            if not taken:
+                p_mark[i : i - k] = t_mark[j : j - k] = [True] * -k
+                out.append((i, j, -k))
+                continue
+            for a, b in zip([-1, *taken], [*taken, -k], strict=True):
+                if b - a - 1 >= s:
+                    heapq.heappush(heap, (a + 1 - b, i + a + 1, j + a + 1))
+        if s == least:
             break
-        if found and s == least:
-            continue  # what is left of an overlapped match may still be long enough
-        s = max(least, s // 2) if not found or s > least else least
-    return sorted(out, key=lambda x: (-x[2], x[0], x[1]))
+        s = max(least, s // 2)
+    return out
 
 
 def _free(mark: list[bool], s: int) -> list[bool]:
@@ -192,30 +200,59 @@ def matches(text: Column, seeds: Seeds, coverage: float = COVERAGE) -> Column:
     return run(text)
 
 
-def blocks_of(benchmark: DataFrame, least: int = SEED_WORDS, most: int = BLOCK_WORDS):
-    """Seeds of the benchmark's items, in blocks of at most about ``most`` words, so what goes to the executors is bounded."""
-    held, n = [], 0
-    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        held.append((r["item_id"], r["text"]))
-        n += len(r["text"]) // 5 + 1
-        if n >= most:
-            yield Seeds.of(held, least)
-            held, n = [], 0
-    if held:
-        yield Seeds.of(held, least)
+_FOUND = "array<struct<item_id:long,coverage:double,tiles:int,longest:int>>"
+
+
+def blocks_of(benchmark: DataFrame, least: int = SEED_WORDS, most: int = BLOCK_WORDS) -> Iterator[Seeds]:
+    """Seeds of the benchmark's items, in blocks of about ``most`` words, so what the driver holds and the executors get is bounded.
+    The words are counted first; items are dealt to as many blocks by a hash, and one block is read at a time."""
+    items = benchmark.select("item_id", "text").where("text is not null")
+    n = items.agg(F.sum(F.length("text") / 5 + 1)).first()[0] or 0
+    parts = int(-(-n // most))
+    for k in range(parts):
+        block = Seeds.of([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()], least)
+        if block.item_ids:
+            yield block
 
 
-def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = SEED_WORDS) -> DataFrame:
-    """docs with ``__found``: the items of the benchmark (item_id, text) of which at least ``coverage`` of the words is tiled.
+def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = SEED_WORDS, most: int = BLOCK_WORDS) -> DataFrame:
+    """docs with ``__found``: the items of the benchmark (item_id, text) of which at least ``coverage`` of the words is tiled, the best
+    covered first, then by item_id, null last.
 
     Null, empty and wordless texts match nothing, and so do such items.  An item below ``least`` words must occur as a whole.
-    One pass over docs for each block of the benchmark.  An empty benchmark finds nothing.
+    A benchmark of one block is one projection of docs.  A larger one is a pass over docs for each block, whose matches are written as
+    (hash of the text, item), and are then joined to docs; driver and executors hold one block at a time.  An empty benchmark
+    finds nothing.  A column named __found is replaced; __text is used and left out again.
     """
-    tune(docs.sparkSession)
-    found = [matches(F.col("text"), s, coverage) for s in blocks_of(benchmark, least)]
-    empty = F.array().cast("array<struct<item_id:long,coverage:double,tiles:int,longest:int>>")
-    best = lambda a, b: F.when(a["coverage"] > b["coverage"], -1).when(a["coverage"] < b["coverage"], 1).when(a["item_id"] < b["item_id"], -1).otherwise(F.lit(1))
-    return docs.withColumn("__found", F.array_sort(F.concat(*found), best) if len(found) > 1 else found[0] if found else empty)
+    spark = docs.sparkSession
+    tune(spark)
+    docs = docs.drop("__found", "__text")
+    key = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    held, before = [], None
+    for block in blocks_of(benchmark, least, most):
+        if before is not None:
+            held.append(_written(docs, key, before, coverage))
+        before = block
+    if before is None:
+        return docs.withColumn("__found", F.array().cast(_FOUND))
+    if not held:
+        return docs.withColumn("__found", matches(F.col("text"), before, coverage))
+    held.append(_written(docs, key, before, coverage))
+    order = lambda a, b: (
+        F.when(a["coverage"] > b["coverage"], -1).when(a["coverage"] < b["coverage"], 1).when(a["item_id"].isNull() & b["item_id"].isNull(), 0).when(b["item_id"].isNull() | (a["item_id"] < b["item_id"]), -1)
+        .when(a["item_id"].isNull() | (a["item_id"] > b["item_id"]), 1).otherwise(0)
+    )
+    rows = held[0]
+    for x in held[1:]:
+        rows = rows.unionByName(x)
+    whole = rows.groupBy("__text").agg(F.array_sort(F.flatten(F.collect_list("found")), order).alias("__found"))  # one array a block
+    return docs.withColumn("__text", key).join(whole, "__text", "left").drop("__text").withColumn("__found", F.coalesce("__found", F.array().cast(_FOUND)))
+
+
+def _written(docs: DataFrame, key: Column, block: Seeds, coverage: float) -> DataFrame:
+    """(__text, found) of the texts with items of one block."""
+    got = docs.select(key.alias("__text"), matches(F.col("text"), block, coverage).alias("found")).where(F.size("found") > 0)
+    return materialise(got.dropDuplicates(["__text"]), "matches")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = SEED_WORDS) -> DataFrame:

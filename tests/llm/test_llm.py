@@ -433,15 +433,39 @@ def test_tiles():
     import random
 
     r = random.Random(4)
-    for _ in range(150):
-        p = [r.randint(0, 30) for _ in range(r.randint(3, 30))]
-        t = [r.randint(0, 30) for _ in range(5)]
-        for _ in range(3):
+    for n in range(2000):
+        least, kinds = r.choice([1, 2, 3, 5]), r.choice([2, 5, 30])
+        p = [r.randint(0, kinds) for _ in range(r.randint(1, 30))]
+        t = [r.randint(0, kinds) for _ in range(r.randint(0, 5))]
+        for _ in range(r.randint(0, 3)):
             a = r.randrange(len(p))
-            t += p[a : a + r.randint(2, 12)] + [r.randint(0, 30)]
-        fast, slow = decontam.tiles(p, t, 3), slow_tiles(p, t, 3)
-        assert sum(k for _, _, k in fast) == sum(k for _, _, k in slow) or abs(sum(k for _, _, k in fast) - sum(k for _, _, k in slow)) <= 3
-        assert fast[:1] == slow[:1]
+            t += p[a : a + r.randint(2, 12)] + [r.choice([-1, r.randint(0, kinds)])]
+        assert decontam.tiles(p, t, least) == slow_tiles(p, t, least), (n, p, t, least)
+
+
+def slow_found(text, items, coverage=0.5, least=5):
+    """By definition: whole item against whole text, without seeds."""
+    words = lambda x: re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", x.translate({c: c + 32 for c in range(65, 91)}))
+    out, t = [], words(text or "")
+    for item, body in items:
+        p = words(body or "")
+        number = {w: i for i, w in enumerate({*p, *t})}
+        got = slow_tiles([number[w] for w in p], [number[w] for w in t], min(least, len(p))) if p else []
+        if p and sum(k for _, _, k in got) / len(p) >= coverage:
+            out.append((item, sum(k for _, _, k in got) / len(p), len(got), got[0][2]))
+    return sorted(out, key=lambda x: (-x[1], x[0] is None, x[0] or 0))
+
+
+@pytest.mark.parametrize("most", [decontam.BLOCK_WORDS, 4])
+def test_decontamination_by_definition(spark, folders, most):
+    """The awkward table, one block or one for nearly every item: seeds lose nothing and all numbers are those of slow tiling."""
+    t = pq.read_table(f"{folders['awkward']}/benchmark.parquet")
+    items = list(zip(t["item_id"].to_pylist(), t["text"].to_pylist(), strict=True))
+    docs = spark.read.parquet(f"{folders['awkward']}/documents.parquet").withColumn("__text", F.lit(1)).withColumn("__found", F.lit(2))
+    got = decontam.find(docs, spark.read.parquet(f"{folders['awkward']}/benchmark.parquet"), most=most).collect()
+    assert len(got) == 24
+    for r in got:
+        assert [tuple(m) for m in r["__found"]] == slow_found(r.text if len(r.text or "") < 5000 else "", items) or len(r.text) >= 5000
 
 
 def test_decontamination(spark, folders):
