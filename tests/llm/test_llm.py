@@ -12,43 +12,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gneiss.llm import _components, decontam, fingerprints, licenses, mixing, quality, sharding, simhash, substring, tokenbin, tokencount
+from gneiss.llm import _components, decontam, fingerprints, mixing, quality, sharding, simhash, substring, tokenbin, tokencount
 
-SF = "/root/testdata/sf0.001"
-PASSAGE = " ".join(f"word{i}" for i in range(40))
-
-
-def awkward():
-    texts = [
-        "", None, " \n\t ", "one", "one two three", "one two three", PASSAGE, PASSAGE, PASSAGE.replace("word20", "changed"), "before " + PASSAGE + " after", "x " * 300, "Ünï cödé 😀 text with odd　blanks",
-        "Released under the MIT License.\nMore text.", "A B C D E F G", "a b c d e f g", "tab\tand\x0bother\x1cblanks", "<|endoftext|> inside", "0" * 500, ("long text " + PASSAGE + "\n") * 30, PASSAGE + " " + PASSAGE,
-    ]
-    ids = list(range(len(texts)))
-    texts += [PASSAGE, PASSAGE, "null id here " + PASSAGE, "another null id"]
-    ids += [6, 6, None, None]  # repeated rows and null ids
-    n = len(ids)
-    lang, source = [None if i % 7 == 0 else "en" for i in range(n)], [None if i % 5 == 0 else f"src{i % 3}" for i in range(n)]
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "text": texts, "lang": lang, "source": source, "n_chars": pa.array([len(t or "") for t in texts], pa.int64()), "shard": ["mine"] * n, "fp": [1.5] * n, "node": ["x"] * n})
-
-
-@pytest.fixture(scope="module")
-def folders(tmp_path_factory):
-    bench = pa.table({"item_id": pa.array([1, 2, None, 4], pa.int64()), "text": [" ".join(f"word{i}" for i in range(5, 30)), None, "one two", "!!"]})
-    labels = pa.table({"doc_id": pa.array([*range(20), None], pa.int64()), "quality": pa.array([i % 2 for i in range(20)] + [1], pa.int32()), "toxic": pa.array([0] * 21, pa.int32())})
-    out = {}
-    for name, docs in (("awkward", awkward()), ("empty", awkward().slice(0, 0))):
-        d = tmp_path_factory.mktemp(name)
-        pq.write_table(docs, d / "documents.parquet")
-        pq.write_table(bench if name == "awkward" else bench.slice(0, 0), d / "benchmark.parquet")
-        pq.write_table(labels if name == "awkward" else labels.slice(0, 0), d / "labels.parquet")
-        out[name] = str(d)
-    out["driver"] = SF
-    return out
-
-
-def rows_of(folder):
-    t = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"])
-    return list(zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), strict=True))
+from tests.llm.tables import PASSAGE, SF, rows_of  # noqa: E402
 
 
 def key(x):
@@ -346,35 +312,6 @@ def test_gradient_is_right():
         assert abs((up - down) / (2 * e) - g[k][at]) < 0.05 * abs(g[k][at]) + 1e-4
 
 
-def test_licences(spark, folders):
-    docs = spark.read.parquet(f"{folders['awkward']}/documents.parquet")
-    model = licenses.train(docs)
-    assert model.held_out_accuracy > 0.9
-    lines = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "the pilot renewed his licence", "no cue", "All rights reserved.", "xq licensed under the GNU General Public License version 3 zz"]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate([*lines, None, "", "\n".join(lines)])], "doc_id long, text string")
-    got = {r.doc_id: r["__licences"] for r in licenses.scan(df, model).collect()}
-    for i, x in enumerate(lines[:6]):
-        if i == 3:
-            assert got[i] == []
-            continue
-        p = model.probabilities(x)
-        k = int(p.argmax())
-        assert got[i][0].family == licenses.CLASSES[k] and abs(got[i][0].probability - p[k]) < 1e-6
-        assert abs(got[i][0].similarity - licenses.similarity(set(licenses.tokens(x)), k)) < 1e-9
-    assert [c.family for c in got[8] if c.confirmed] == ["mit", "cc-by-nc", "proprietary", "gpl"] and got[6] == got[7] == []
-    assert not got[2][0].confirmed
-
-
-def test_licence_gate_keeps_every_template(spark):
-    lines = [t for ts in licenses.TEMPLATES.values() for t in ts] + ["Released under the MPL 2.0.", "Apache-2.0", "BSD-3-Clause", "Dual MIT/Apache-2.0", "MIT-Lizenz", "Alle Rechte vorbehalten", "MIT"]
-    df = spark.createDataFrame([(x,) for x in lines], "text string")
-    assert [r.text for r in df.where(F.size(licenses.paragraphs(F.col("text"))) == 0).collect()] == []
-    model = licenses.train(df.limit(0))
-    got = {r.text: r["__licences"][0] for r in licenses.scan(df, model).collect()}
-    want = {"Released under the MPL 2.0.": "mpl", "Apache-2.0": "apache", "BSD-3-Clause": "bsd", "MIT-Lizenz": "mit", "Alle Rechte vorbehalten": "proprietary"}
-    assert {x: got[x].family for x in want if got[x].confirmed} == want
-
-
 def test_shares():
     assert mixing.share_out(100, [1, 1], [10, 1000]) == [10, 90]
     assert mixing.share_out(100, [3, 1], [1000, 1000]) == [75, 25]
