@@ -21,6 +21,7 @@ import json
 import random
 import re
 from functools import cache
+from itertools import groupby
 
 import numpy as np
 import xxhash
@@ -210,8 +211,9 @@ def gate() -> tuple[str, ...]:
 
 
 def gate_pattern() -> str:
-    """Over lower-cased text."""
-    return f"(?<![a-z0-9])(?:{'|'.join(gate())})(?![a-z0-9])"
+    """Over lower-cased text; words with the same first letter share a branch, so few are tried at a place."""
+    branches = (f"{first}(?:{'|'.join(w[1:] for w in some)})" for first, some in groupby(gate(), key=lambda w: w[0]))
+    return f"(?<![a-z0-9])(?:{'|'.join(branches)})(?![a-z0-9])"
 
 
 def similarity(words: set[str], family: int) -> float:
@@ -242,10 +244,12 @@ def paragraphs(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
 
     def starts(lines: Column) -> Column:
-        # of each line: has a gate word, can be followed, is blank; computed once
+        # of each line: has a gate word, can be followed, is blank; each step works on the array of the one before it, so nothing is computed twice
         marks = F.transform(lines, lambda p: F.struct(p.rlike(gate_pattern()).alias("cue"), (F.length(p) <= WRAP).alias("wraps"), (~p.rlike("[a-z0-9]")).alias("blank")))
-        at = lambda i, k: F.get(marks_, i + k)
-        marks_ = marks
+        return one(marks, lambda m: among(lines, m))
+
+    def among(lines: Column, marks: Column) -> Column:
+        at = lambda i, k: F.get(marks, i + k)
 
         def windows(i: Column) -> Column:
             options, cue, goes = [], None, None
@@ -270,26 +274,26 @@ def classify(paragraph: Column, model: Model) -> Column:
     """struct(family, probability, similarity) of a paragraph."""
     k = len(CLASSES)
     weights = F.split(F.lit(",".join(f"{x:g}" for x in model.w.ravel())), ",").cast("array<double>")  # folded to one constant
-    words = F.filter(F.split(F.lower(paragraph), "[^a-z0-9]+"), lambda w: w != "")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-    grams = F.array_distinct(F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))))
-    slots = F.array_distinct(F.concat(F.array(F.lit(FEATURES).cast("long")), F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(FEATURES)))))
-    # each step works on the struct of the one before it, so nothing is computed once per class
-    zero = F.array(*[F.lit(0.0)] * k)
-    sums = F.aggregate(slots, zero, lambda acc, s: F.zip_with(acc, F.slice(weights, (s * k + 1).cast("int"), k), lambda x, y: x + y))
-    exps = lambda z: F.transform(z, lambda x: F.exp(x - F.array_max(z)))
+    # each step works on the result of the one before it, so nothing is computed once per class or per word
     one = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
     shape = [[[{"w": w, "x": round(weight(w) / sum(map(weight, t)), 12)} for w in t] for t in family] for family in _template_words()]
     templates = F.from_json(F.lit(json.dumps(shape)), "array<array<array<struct<w:string,x:double>>>>")
 
-    def settle(z: Column) -> Column:
+    def logits(words: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+        grams = F.array_distinct(F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))))
+        slots = F.array_distinct(F.concat(F.array(F.lit(FEATURES).cast("long")), F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(FEATURES)))))
+        return F.aggregate(slots, F.array(*[F.lit(0.0)] * k), lambda acc, s: F.zip_with(acc, F.slice(weights, (s * k + 1).cast("int"), k), lambda x, y: x + y))
+
+    def settle(words: Column, z: Column) -> Column:
         best = F.array_position(z, F.array_max(z)).cast("int")
-        prob = F.element_at(exps(z), best) / F.aggregate(exps(z), F.lit(0.0), lambda a, x: a + x)
-        distinct = F.array_distinct(words)
-        like = F.coalesce(F.array_max(F.transform(F.element_at(templates, best), lambda t: F.round(F.aggregate(t, F.lit(0.0), lambda a, y: a + F.when(F.array_contains(distinct, y["w"]), y["x"]).otherwise(0.0)), 9))), F.lit(0.0))
+        prob = 1 / one(F.array_max(z), lambda top: F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+        share = lambda distinct: F.array_max(F.transform(F.element_at(templates, best), lambda t: F.round(F.aggregate(t, F.lit(0.0), lambda a, y: a + F.when(F.array_contains(distinct, y["w"]), y["x"]).otherwise(0.0)), 9)))
+        like = F.coalesce(one(F.array_distinct(words), share), F.lit(0.0))
         return F.struct(F.element_at(F.array(*map(F.lit, CLASSES)), best).alias("family"), prob.alias("probability"), like.alias("similarity"))
 
-    return one(sums, settle)
+    words = F.filter(F.split(F.lower(paragraph), "[^a-z0-9]+"), lambda w: w != "")
+    return one(words, lambda ws: one(logits(ws), lambda z: settle(ws, z)))
 
 
 def scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
