@@ -4,7 +4,8 @@ Documents are ordered by (hash of the text, id) and cut into shards of nearly eq
 the largest key are counted exactly, across all partitions: how many bytes and rows lie below each.  Every splitter keeps
 the bracket of probes around its target, and the next round probes inside the brackets, until a splitter meets the tolerance or
 its bracket holds a single key.  Only then are the rows exchanged, once.  Equal texts are neighbours in the order, so a
-group of copies shares a shard unless a splitter has to fall inside it, which equal sizes demand of a large group.
+group of copies shares a shard unless a splitter has to fall inside it, which equal sizes demand of a large group.  Where a
+splitter has to fall inside rows equal in id and text, all rows are written with a number of their own first, which is then part of the key.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from gneiss.llm._store import discard, materialise, table, tune
 
 PROBES, TOLERANCE, PART_BYTES, OVERHEAD = 24, 0.002, 256 << 20, 8
+#: Probes and tolerance, as a share of a part, of cuts inside a shard: they only bound what a task sorts.
+INNER_PROBES, INNER_TOLERANCE = 3, 0.25
 
 
 def size_of(text: Column) -> Column:
@@ -26,28 +29,24 @@ def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(OVERHEAD)).cast("long")
 
 
-def _key(high: Column, low: Column) -> Column:
-    """16 bytes that sort as (high, low) do; a null low sorts first."""
-    flip = lambda c: F.unhex(F.lpad(F.hex(c.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
-    return F.concat(flip(high), flip(F.coalesce(low, F.lit(-(1 << 63)))))
+def _key(*parts: Column) -> Column:
+    """8 bytes for each long, that sort as the longs do; a null sorts first."""
+    flip = lambda c: F.unhex(F.lpad(F.hex(F.coalesce(c, F.lit(-(1 << 63))).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    return F.concat(*map(flip, parts))
 
 
 def _at(keys: pd.Series, cuts: np.ndarray) -> np.ndarray:
-    return np.searchsorted(cuts, np.array(keys.tolist(), dtype="S16"), side="right") if len(keys) else np.zeros(0, int)
+    return np.searchsorted(cuts, np.array(keys.tolist(), dtype=cuts.dtype), side="right") if len(keys) else np.zeros(0, int)
 
 
-def _bytes(keys: list[int]) -> np.ndarray:
-    return np.array([k.to_bytes(16, "big") for k in keys], dtype="S16")
+def _bytes(keys: list[int], width: int) -> np.ndarray:
+    return np.array([k.to_bytes(width, "big") for k in keys], dtype=f"S{width}")
 
 
-def _number(key: bytes) -> int:
-    return int.from_bytes(bytes(key).ljust(16, b"\0"), "big")
-
-
-def histogram(slim: DataFrame, cuts: list[int]) -> list[tuple[int, int, int, int, int]]:
-    """(bucket, bytes, rows, smallest key, largest key) of the keys between cuts; a key equal to a cut lies above it.
-    One row per bucket and task is shuffled, and one per bucket collected."""
-    at = _bytes(cuts)
+def histogram(slim: DataFrame, cuts: list[int], width: int = 16) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[int, int]]]:
+    """Bytes and rows of the keys between cuts, and the smallest and largest key of each bucket that has any; a key equal to a cut
+    lies above it.  One row per bucket and task is shuffled, and one per bucket collected."""
+    at = _bytes(cuts, width)
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -55,73 +54,86 @@ def histogram(slim: DataFrame, cuts: list[int]) -> list[tuple[int, int, int, int
             yield p.groupby("bucket", as_index=False).agg(bytes=("size", "sum"), rows=("size", "size"), low=("key", "min"), high=("key", "max"))
 
     got = slim.mapInPandas(count, "bucket long, bytes long, rows long, low binary, high binary").groupBy("bucket").agg(F.sum("bytes"), F.sum("rows"), F.min("low"), F.max("high")).collect()
-    return sorted((r[0], r[1], r[2], _number(r[3]), _number(r[4])) for r in got)
+    size, rows, ends = np.zeros(len(cuts) + 1, np.int64), np.zeros(len(cuts) + 1, np.int64), {}
+    number = lambda key: int.from_bytes(bytes(key), "big")
+    for bucket, n_bytes, n, low, high in got:
+        size[bucket], rows[bucket], ends[bucket] = n_bytes, n, (number(low), number(high))
+    return size, rows, ends
 
 
-def splitters(slim: DataFrame, parts: int, tolerance: float = TOLERANCE, probes: int = PROBES) -> tuple[list[int], list[int]]:
-    """parts-1 keys that cut slim (key binary, size long) into parts of nearly equal size, and the rows of each part.
+def splitters(slim: DataFrame, parts: int, each: int = 1, tolerance: float = TOLERANCE, probes: int = PROBES, width: int = 16, count=histogram) -> tuple[list[int], np.ndarray, bool]:
+    """parts-1 keys that cut slim (key binary, size long) into parts of nearly equal size, the rows of each part, and whether a splitter
+    between two shards, of ``each`` parts, missed its target because a single key holds more than the tolerance.
 
-    A cut lies within tolerance (a share of a part) of its target, or at the row boundary nearest to it.
+    Such a splitter lies within tolerance (a share of a part) of its target, or at the row boundary nearest to it; splitters inside a
+    shard within INNER_TOLERANCE.  Driver work is in proportion to parts, but for sorting: the probes of a round are counted
+    together, and each splitter finds its bracket by binary search in their cumulative bytes.
     """
-    whole = histogram(slim, [])
-    if not whole:
-        return [], [0] * parts
-    _, total, rows, low, high = whole[0]
-    goal = [total * (j + 1) / parts for j in range(parts - 1)]
-    bracket = {j: (low, high, 0, total) for j in range(parts - 1)}  # keys and bytes: all below the first key, all up to the last
-    cut: dict[int, int] = {}
-    while bracket:
-        tried = sorted({lo + 1 + (hi - lo) * i // probes for lo, hi, _, _ in bracket.values() for i in range(probes) if hi > lo} | {hi + 1 for _, hi, _, _ in bracket.values()} | {lo for lo, _, _, _ in bracket.values()})
-        seen = {b: x for b, *x in histogram(slim, tried)}
-        below, edges = 0, []  # (bytes below, cut, largest key below it, smallest key from it on)
-        for i in range(len(tried) + 1):
-            size, _, least, most = seen.get(i, (0, 0, None, None))
-            edges.append((below, below + size, least, most))
-            below += size
-        for j, (lo, hi, _, _) in list(bracket.items()):
-            a, b = max((e for e in ((edges[i + 1][0], tried[i]) for i in range(len(tried))) if e[0] <= goal[j]), default=(0, 0)), min((e for e in ((edges[i + 1][0], tried[i]) for i in range(len(tried))) if e[0] >= goal[j]), default=(total, high + 1))
-            near = min(a, b, key=lambda e: (abs(e[0] - goal[j]), e[1]))
-            inside = next((e for e in edges if e[0] <= goal[j] < e[1]), None)
-            if abs(near[0] - goal[j]) <= tolerance * total / parts or inside is None or inside[2] == inside[3]:
+    size, rows, ends = count(slim, [], width)
+    if not ends:
+        return [], np.zeros(parts, np.int64), False
+    total, (low, high) = int(size[0]), ends[0]
+    cut, stuck = [0] * (parts - 1), False
+    outer = [(j + 1) % each == 0 for j in range(parts - 1)]
+    # keys begin with a hash, so the first probes stand around each target's share of their range
+    todo = {}
+    for j in range(parts - 1):
+        n = probes if outer[j] else INNER_PROBES
+        mid, step = low + (high - low) * (j + 1) // parts, max((high - low) // (parts * n), 1)
+        todo[j] = [mid + (2 * i - n + 1) * step // 2 for i in range(n)]
+    while todo:
+        tried = sorted({min(max(p, low), high + 1) for ps in todo.values() for p in ps})
+        size, _, ends = count(slim, tried, width)
+        below = np.concatenate([[0], np.cumsum(size)])  # bytes under each bucket
+        goals = np.array([total * (j + 1) / parts for j in todo])
+        bucket = np.searchsorted(below[1:-1], goals, side="right")  # that holds the target
+        done = {}
+        for j, goal, k in zip(todo, goals.tolist(), bucket.tolist(), strict=True):
+            near = min((int(below[k]), tried[k - 1] if k else low), (int(below[k + 1]), tried[k] if k < len(tried) else high + 1), key=lambda e: (abs(e[0] - goal), e[1]))
+            miss = abs(near[0] - goal) > (tolerance if outer[j] else INNER_TOLERANCE) * total / parts
+            if not miss or k not in ends or ends[k][0] == ends[k][1]:
                 cut[j] = near[1]
-                del bracket[j]
-            else:
-                bracket[j] = (inside[2], inside[3], inside[0], inside[1])
-    cuts = sorted(cut.values())
-    counts = {b: r for b, _, r, _, _ in histogram(slim, cuts)}
-    return cuts, [counts.get(i, 0) for i in range(parts)]
+                stuck |= miss and outer[j]
+                continue
+            lo, hi = ends[k]
+            done[j] = [lo, *(lo + 1 + (hi - lo) * i // probes for i in range(probes)), hi + 1]
+        todo = done
+    cut.sort()
+    return cut, count(slim, cut, width)[1], stuck
 
 
 def shard(docs: DataFrame, shards: int = 24, tolerance: float = TOLERANCE, part_bytes: int = PART_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 within the shard).
 
     Law ``bytes``: the sizes of shards differ by the tolerance or by single rows.  A null id sorts as the smallest, a null
-    text is hashed as a value of its own with size 8.  Rows equal in id and text have one key and stay together.  An empty
-    table gives an empty result.  A shard over part_bytes is sorted in several tasks; columns named shard or slot are replaced.
+    text is hashed as a value of its own with size 8.  An empty table gives an empty result.  A shard over part_bytes is sorted in
+    several tasks.  Rows equal in id and text stay together unless they are more than a shard can take.  Columns named shard or slot
+    are replaced; __key, __part, __n and __row are used and left out.
     """
     spark = docs.sparkSession
     tune(spark)
-    key = _key(F.xxhash64(text_col), F.col(id_col).cast("long"))
+    docs = docs.drop("shard", "slot", "__key", "__part", "__n")
+    longs = [F.xxhash64(text_col), F.col(id_col).cast("long"), *([F.col("__row")] if "__row" in docs.columns else [])]
+    key, width = _key(*longs), 8 * len(longs)
     slim = materialise(docs.select(key.alias("key"), size_of(F.col(text_col)).alias("size")), "shard-keys")
     total = slim.agg(F.sum("size")).first()[0] or 0
     each = max(1, -(-total // (shards * part_bytes)))
-    cuts, rows = splitters(slim, shards * each, tolerance)
+    cuts, rows, stuck = splitters(slim, shards * each, each, tolerance, width=width)
     discard(slim)
-    at = _bytes(cuts)
+    if stuck and width == 16:
+        numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")  # read twice, so written once
+        return shard(numbered, shards, tolerance, part_bytes, id_col, text_col)
+    at = _bytes(cuts, width)
 
     @F.pandas_udf("int")
     def part(keys: pd.Series) -> pd.Series:
         return pd.Series(_at(keys, at).astype("int32"))
 
-    before, n = [], 0
-    for p in range(shards * each):
-        n = 0 if p % each == 0 else n
-        before.append(n)
-        n += rows[p]
-    placed = docs.drop("shard", "slot").withColumn("__key", key).withColumn("__part", part("__key")).repartitionById(shards * each, F.col("__part"))
+    before = [int(rows[p - p % each : p].sum()) for p in range(shards * each)]
+    placed = docs.withColumn("__key", key).withColumn("__part", part("__key")).repartitionById(shards * each, F.col("__part"))
     order = Window.partitionBy("__part").orderBy("__key", *([F.col(text_col)] if text_col in docs.columns else []))
     start = F.element_at(F.split(F.lit(",".join(map(str, before))), ",").cast("array<long>"), F.col("__part") + 1)
-    return placed.withColumn("__n", F.row_number().over(order)).select("*", F.floor(F.col("__part") / each).cast("int").alias("shard"), (start + F.col("__n") - 1).alias("slot")).drop("__key", "__part", "__n")
+    return placed.withColumn("__n", F.row_number().over(order)).select("*", F.floor(F.col("__part") / each).cast("int").alias("shard"), (start + F.col("__n") - 1).alias("slot")).drop("__key", "__part", "__n", "__row")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
