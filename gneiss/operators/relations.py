@@ -1,13 +1,13 @@
 """Relations between vocabulary mentions that stand close together, asserted by patterns or handed on with a reason.
 
-A document is read once: mentions, pairs and the trigger words are all found where its text is, so nothing is exchanged but what
-was found.  Types are judged by the gate of ``ontology`` as a join with its small table of rules.
+A document is read once, for its mentions; pairs are a range join of the array of mentions with itself, and patterns, scope and types are
+judged by column expressions, the types by the gate of ``ontology`` as a join with its small table of rules.  Texts are not exchanged.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from gneiss.operators.ontology import Gazetteer, Matcher, type_gate
 
-# What a gap between two mentions may say, by predicate in order of precedence, and the words that qualify, negate or relate.
+# Fixed values, which must match for right results: what a gap between two mentions may say, by predicate in order of precedence, and the
+# words that qualify, negate or relate.
 GAPS = {
     "runsOn": r"(?:runs?|running|executes?|deployed?|hosted)\b.{0,20}?\b(?:on|to|in|by)",
     "implements": r"implements?|implementing|provides?|delivers?|enables?|supports?",
@@ -46,8 +47,7 @@ RELATIONAL = (
 HIGH_STAKES = ["supersedes", "rebrandedAs", "deprecatedBy", "contradicts"]
 GAP = 60
 
-FOUND = "subject string, subject_class string, predicate string, object string, object_class string, start int, end int, evidence string, scope string"
-SCAN = f"doc_id long, strong int, relational boolean, relations array<struct<{', '.join(x.replace(' ', ': ', 1) for x in FOUND.split(', ')).replace('end:', '`end`:')}>>"
+MENTION = "start int, end int, surface string, canonical string, class string, lead string, rest string, tail string"
 
 
 def has_trigger(text: Column) -> Column:
@@ -55,61 +55,54 @@ def has_trigger(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike("(?i)" + RELATIONAL)
 
 
-class Reader:
-    """Reads one text after another against a vocabulary."""
-
-    def __init__(self, gazetteer: Gazetteer, gap: int = GAP):
-        self.matcher, self.gap = Matcher(gazetteer), gap
-        self.gaps = [(p, re.compile(LEAD + f"(?:{words})" + r"\W*$", re.I)) for p, words in GAPS.items()]
-        self.qualified, self.negated, self.relational = (re.compile(x, re.I) for x in (QUALIFIED, NEGATED, RELATIONAL))
-
-    def mentions(self, text: str) -> list[tuple[int, int, str, str, str]]:
-        return [m for m in self.matcher.find(text) if m[4] != "ambiguous"]
-
-    def pairs(self, text: str, found: list) -> Iterator[tuple[tuple, tuple, str]]:
-        """Mentions of two things in one sentence, the second at most ``gap`` characters after the first, and what stands between them."""
-        for i, first in enumerate(found):
-            for second in found[i + 1 :]:
-                between = text[first[1] : second[0]]
-                if len(between) > self.gap:
-                    break
-                if first[3] != second[3] and not re.search(r"[.!?]\s", between):
-                    yield first, second, between
-
-    def sentence(self, text: str, start: int, end: int) -> str:
-        before = text[max(text.rfind(c, 0, start) for c in ".!?\n") + 1 : start]
-        after = re.search(r"[.!?\n]", text[end:])
-        return before + text[start : end + after.start() if after else len(text)]
-
-    def relations(self, text: str, found: list) -> list[dict]:
-        out = []
-        for first, second, between in self.pairs(text, found):
-            predicate = next((p for p, rx in self.gaps if rx.search(between)), None)
-            if predicate:
-                start, end = first[0], second[1]
-                scope = "negated" if self.negated.search(between) else "qualified" if self.qualified.search(self.sentence(text, start, end)) else ""
-                out.append(dict(subject=first[3], subject_class=first[4], predicate=predicate, object=second[3], object_class=second[4], start=start, end=end, evidence=text[start:end], scope=scope))
-        return out
-
-
-def scan(docs: DataFrame, gazetteer: Gazetteer, weak: tuple[str, ...] = ("Vendor",)) -> DataFrame:
-    """SCAN: per document how many strong entities it names, whether it has a relational verb, and the relations its gaps say.
-
-    A document without such a verb is not read for relations.  Null and empty texts name nothing.
-    """
+def in_context(docs: DataFrame, gazetteer: Gazetteer, gap: int = GAP) -> DataFrame:
+    """docs (doc_id, text) with ``mentions``: array of MENTION in order of place.  A mention carries its sentence before (lead) and after
+    it (rest), and the ``gap`` characters that follow (tail), so that nothing later needs the text."""
+    names = [x.split()[0] for x in MENTION.split(", ")]
 
     def run(batches):
-        reader = Reader(gazetteer)
+        matcher = Matcher(gazetteer)
         for p in batches:
-            rows = []
-            for doc, text in zip(p["doc_id"], p["text"], strict=True):
-                text = text or ""
-                found = reader.mentions(text)
-                verb = bool(reader.relational.search(text))
-                rows.append((doc, len({m[3] for m in found if m[4] not in weak}), verb, reader.relations(text, found) if verb and len(found) > 1 else []))
-            yield pd.DataFrame(rows, columns=["doc_id", "strong", "relational", "relations"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, SCAN)
+            found = []
+            for text in p["text"].fillna(""):
+                edges = [-1, *(m.start() for m in re.finditer(r"[.!?\n]", text)), len(text)]
+                rows = []
+                for s, e, surface, name, kind in matcher.find(text):
+                    left, right = edges[bisect_left(edges, s) - 1] + 1, edges[bisect_left(edges, e)]
+                    rows.append(dict(zip(names, (s, e, surface, name, kind, text[left:s], text[e:right], text[e : e + gap]), strict=True)))
+                found.append(rows)
+            yield pd.DataFrame({"doc_id": p["doc_id"], "relational": p["relational"], "mentions": found})
+
+    fields = ", ".join(f"`{x.split()[0]}`: {x.split()[1]}" for x in MENTION.split(", "))
+    return docs.select("doc_id", "text", has_trigger(F.col("text")).alias("relational")).mapInPandas(run, f"doc_id long, relational boolean, mentions array<struct<{fields}>>")
+
+
+def scan(docs: DataFrame, gazetteer: Gazetteer, weak: tuple[str, ...] = ("Vendor",), gap: int = GAP) -> DataFrame:
+    """(doc_id, strong, relational, relations): per document how many strong entities it names, whether it has a relational verb, and the
+    relations that stand between its mentions.
+
+    A relation joins a mention with each one that begins within ``gap`` characters of its end, in the same sentence and of another
+    thing; the first predicate whose pattern the gap ends in counts.  A document without such a verb has none.  Null and empty texts
+    name nothing.
+    """
+    sure = F.filter("mentions", lambda m: m["class"] != "ambiguous")
+    read = in_context(docs, gazetteer, gap).select("doc_id", "relational", sure.alias("ms"))
+    strong = F.size(F.array_distinct(F.transform(F.filter("ms", lambda m: ~m["class"].isin(*weak)), lambda m: m["canonical"])))
+
+    def follow(a: Column) -> Column:
+        near = F.filter("ms", lambda b: (b["start"] >= a["end"]) & (b["start"] - a["end"] <= gap) & (b["canonical"] != a["canonical"]))
+        return F.transform(near, lambda b: F.struct(a.alias("a"), b.alias("b"), F.substr(a["tail"], F.lit(1), b["start"] - a["end"]).alias("gap")))
+
+    def relation(p: Column) -> Column:
+        a, b, said = p["a"], p["b"], p["gap"]
+        predicate = F.coalesce(*[F.when(said.rlike(f"(?i){LEAD}(?:{words})" + r"\W*$"), name) for name, words in GAPS.items()])
+        evidence = F.concat(a["surface"], said, b["surface"])
+        scope = F.when(said.rlike("(?i)" + NEGATED), "negated").when(F.concat(a["lead"], evidence, b["rest"]).rlike("(?i)" + QUALIFIED), "qualified").otherwise("")
+        return F.struct(a["canonical"].alias("subject"), a["class"].alias("subject_class"), predicate.alias("predicate"), b["canonical"].alias("object"), b["class"].alias("object_class"), a["start"].alias("start"), b["end"].alias("end"), evidence.alias("evidence"), scope.alias("scope"))
+
+    pairs = F.filter(F.flatten(F.transform("ms", follow)), lambda p: ~p["gap"].rlike(r"[.!?]\s"))
+    out = read.select("doc_id", strong.alias("strong"), "relational", F.filter(F.transform(pairs, relation), lambda r: r["predicate"].isNotNull()).alias("relations"))
+    return out.withColumn("relations", F.when(F.col("relational"), F.col("relations")).otherwise(F.slice("relations", 1, 0)))
 
 
 def judged(scanned: DataFrame, rules: DataFrame) -> DataFrame:
