@@ -199,3 +199,17 @@ def cut_prose(c: Column, budget: int) -> Column:
     for mark in ("\n\n", ". ", "\n"):
         out = out.when(_last(w, mark) > budget * 0.66, F.rtrim(F.substr(w, F.lit(1), _last(w, mark))))
     return out.otherwise(F.rtrim(w))
+
+
+# Fixed values, which must match for right results: the words and stop words of word clouds.
+CLOUD_WORD = r"[A-Za-z][A-Za-z'\-]{1,}[A-Za-z]|[A-Za-z]{2,}"
+CLOUD_STOP_WORDS = (
+    "a about above after again against all am an and any are aren't as at be because been before being below between both but by can't cannot "
+    "could couldn't did didn't do does doesn't doing don't down during each few for from further had hadn't has hasn't have haven't having he "
+    "he'd he'll he's her here here's hers herself him himself his how how's i i'd i'll i'm i've if in into is isn't it it's its itself let's me "
+    "more most mustn't my myself no nor not of off on once only or other ought our ours ourselves out over own same shan't she she'd she'll she's "
+    "should shouldn't so some such than that that's the their theirs them themselves then there there's these they they'd they'll they're they've "
+    "this those through to too under until up very was wasn't we we'd we'll we're we've were weren't what what's when when's where where's which "
+    "while who who's whom why why's with won't would wouldn't you you'd you'll you're you've your yours yourself yourselves also like just get "
+    "got one two three said says say new using use used via etc within across per without upon towards among "
+).split()

@@ -93,7 +93,8 @@ def hydrate(hits: DataFrame, ms: DataFrame, seeds: int = SEEDS, facts: int = FAC
     near = here.select("query_id", "doc_id", "name").distinct()
     pair = near.join(near.withColumnRenamed("name", "other"), ["query_id", "doc_id"]).where("name <> other").join(seed, ["query_id", "name"])
     pair = pair.select("query_id", F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
-    known = pair.join(graphs.cooccurrence(ms).select("a", "b", "weight"), ["a", "b"])
+    wanted = pair.select("a").unionByName(pair.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "name")
+    known = pair.join(graphs.cooccurrence(ms.join(wanted, "name", "left_semi")).select("a", "b", "weight"), ["a", "b"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "a", "b")).cast("long")
     return known.select("query_id", "a", "b", "weight", rank.alias("rank")).where(F.col("rank") <= facts)
 

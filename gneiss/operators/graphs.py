@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as X
@@ -23,19 +23,9 @@ def exact_clusters(ms: DataFrame) -> DataFrame:
     return ms.groupBy("name").agg(best.alias("canonical"), F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("docs"))
 
 
-def name_score(a: str, b: str) -> Column:
-    """1 for equal names, 0.35 for a compatible shorter one, null for different people."""
-
-    @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([compatible(p.split(), q.split()) for p, q in zip(x, y, strict=True)], dtype="float64")
-
-    return run(a, b)
-
-
 def compatible(a: list[str], b: list[str]) -> float | None:
     """The last words must be equal; the other words of the shorter name must match words of the longer one in order, where a
-    single letter matches what it begins."""
+    single letter matches what it begins.  In plain Python, for one pair; name_pairs() gives all pairs of a table."""
     if not a or not b or a[-1] != b[-1]:
         return None
     if a == b:
@@ -56,6 +46,23 @@ def folder(uri: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(uri, F.lit("")), r"\\", "/"), "/[^/]*$", "")
 
 
+def name_pairs(names: DataFrame) -> DataFrame:
+    """(label, name_a, name_b, base) of the distinct names (label, name) that may be one person's, name_a < name_b.
+
+    The last words must be equal and the other words of the shorter name stand in the longer one in order, where a single letter
+    matches what it begins.  So the first word of the shorter name begins with the same letter as some word of the longer one: names meet
+    by last word and that letter only.  Names of the last word alone meet all of it.
+    """
+    parts = names.withColumn("w", F.split("name", " ")).select("label", "name", F.element_at("w", -1).alias("last"), F.slice("w", 1, F.size("w") - 1).alias("w"))
+    initials = F.array_distinct(F.transform("w", lambda x: F.substring(x, 1, 1)))
+    short = parts.select("label", "last", F.col("name").alias("short"), F.col("w").alias("v"), F.coalesce(F.get(initials, F.lit(0)), F.lit("")).alias("letter"))
+    long = parts.select("label", "last", F.col("name").alias("long"), "w", F.explode(F.concat(F.array(F.lit("")), initials)).alias("letter"))
+    met = short.join(long, ["label", "last", "letter"]).where((F.size("v") <= F.size("w")) & (F.col("short") != F.col("long")))
+    fits = lambda x, y: (x == y) | ((F.length(x) == 1) & F.startswith(y, x)) | ((F.length(y) == 1) & F.startswith(x, y))
+    matched = F.aggregate("w", F.lit(0), lambda i, y: i + F.when(F.coalesce(fits(F.get("v", i), y), F.lit(False)), 1).otherwise(0))
+    return met.where(matched == F.size("v")).select("label", F.least("short", "long").alias("name_a"), F.greatest("short", "long").alias("name_b"), F.lit(ABBREVIATED).alias("base")).distinct()
+
+
 def resolution_links(ms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links (a, b) between mentions (mention_id, doc_id, uri, label, name, near array, keywords array) of one person.
 
@@ -66,27 +73,30 @@ def resolution_links(ms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     same = ms.join(first, ["label", "name"]).where("mention_id <> b").select(F.col("mention_id").alias("a"), "b")
     flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
     one = ms.groupBy("label", "name", "doc_id").agg(F.min("mention_id").alias("id"), F.min("uri").alias("uri"), flat("near").alias("near"), flat("keywords").alias("keywords"))
-    one = one.withColumn("last", F.element_at(F.split("name", " "), -1))
-    a, b = (one.select("label", "last", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "name", "doc_id", "uri", "near", "keywords")]) for k in "ab")
-    pairs = a.join(b, ["label", "last"]).where("name_a < name_b").withColumn("base", name_score("name_a", "name_b")).where("base is not null and not isnan(base)")
+    known = name_pairs(one.select("label", "name").distinct())
+    a, b = (one.select("label", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "name", "doc_id", "uri", "near", "keywords")]) for k in "ab")
+    pairs = known.join(a, ["label", "name_a"]).join(b, ["label", "name_b"])
     place = F.when(F.col("doc_id_a") == F.col("doc_id_b"), SAME_DOC).when((folder(F.col("uri_a")) != "") & (folder(F.col("uri_a")) == folder(F.col("uri_b"))), SAME_FOLDER).otherwise(0.0)
     context = F.least(F.lit(1.0), place + ENTITIES * jaccard(F.col("near_a"), F.col("near_b")) + KEYWORDS * jaccard(F.col("keywords_a"), F.col("keywords_b")))
     other = pairs.where(F.col("base") + context >= threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     return same.unionByName(other).distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, label): the smallest node reachable, by passing labels on and jumping ahead until nothing changes.
-
-    Each round is checkpointed to the shared folder.
-    """
-    spark = links.sparkSession
+def _checkpoints(spark: SparkSession) -> None:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+
+
+def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """(node, label): the smallest node reachable, by passing labels on and jumping ahead until nothing changes.
+
+    Each round is checkpointed to the shared folder.
+    """
+    _checkpoints(links.sparkSession)
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node").checkpoint()
     for _ in range(most_rounds):
@@ -138,3 +148,20 @@ def cap_nodes(facts: DataFrame, most: int) -> DataFrame:
         return p.loc[keep]
 
     return facts.groupBy("query_id").applyInPandas(run, facts.schema)
+
+
+def closure(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(root, node, depth): every node that edges (a, b) lead to from a root, and the fewest steps.  Paths are doubled each round and only the
+    shortest of each pair is kept, so cycles end and rounds grow with the logarithm of the longest chain.  Each round is checkpointed."""
+    _checkpoints(edges.sparkSession)
+    paths = edges.select(F.col("a").alias("root"), F.col("b").alias("node"), F.lit(1).cast("long").alias("depth")).distinct().checkpoint()
+    n = paths.agg(F.count("*"), F.sum("depth")).first()
+    for _ in range(most_rounds):
+        on = paths.select(F.col("root").alias("node"), F.col("node").alias("far"), F.col("depth").alias("more"))
+        longer = paths.join(on, "node").select("root", F.col("far").alias("node"), (F.col("depth") + F.col("more")).alias("depth"))
+        paths = paths.unionByName(longer).groupBy("root", "node").agg(F.min("depth").alias("depth")).checkpoint()
+        now = paths.agg(F.count("*"), F.sum("depth")).first()
+        if now == n:
+            return paths
+        n = now
+    raise RuntimeError(f"the closure did not settle in {most_rounds} rounds")

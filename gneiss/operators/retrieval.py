@@ -19,16 +19,23 @@ def _top(df: DataFrame, k: int, by: list[str], *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, questions: DataFrame, k: int = TOP_K * POOL, scopes: DataFrame | None = None, terms=X.tokens, query_terms=X.search_terms) -> DataFrame:
+def bm25(docs: DataFrame, questions: DataFrame, k: int = TOP_K * POOL, scopes: DataFrame | None = None, stems=None) -> DataFrame:
     """(query_id, doc_id, score, rank): the best documents of each question.
 
     Statistics are of the whole table, whatever the scope.  Only the questions' terms are kept after the tokens of a document
-    are laid out, and they are counted before anything is exchanged.  Ties go to the smaller doc_id.
+    are laid out, and they are counted before anything is exchanged.  Ties go to the smaller doc_id.  ``stems``, a function of an array
+    column, makes terms that share a stem one term: it sees each distinct token once, and no token of a document.
     """
-    asked = questions.select("query_id", F.explode(query_terms(F.col("text"))).alias("term"))
-    words = docs.select("doc_id", terms(F.col("text")).alias("w"))
+    asked = questions.select("query_id", F.explode(X.search_terms(F.col("text"))).alias("term"))
+    words = docs.select("doc_id", X.tokens(F.col("text")).alias("w"))
     stats = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    hits = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term")
+    hits = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    if stems is None:
+        hits = hits.join(asked.select("term").distinct(), "term")
+    else:
+        asked = asked.withColumn("term", F.get(stems(F.array("term")), F.lit(0)))
+        forms = hits.select("term").distinct().select(F.col("term").alias("form"), F.get(stems(F.array("term")), F.lit(0)).alias("term"))
+        hits = hits.withColumnRenamed("term", "form").join(forms.join(asked.select("term").distinct(), "term"), "form")
     tf = hits.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -41,6 +48,19 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int = TOP_K * POOL, scopes: D
     return _top(scored, k, ["query_id"], F.desc(F.round("score", 9)), "doc_id")
 
 
+def substring_hits(docs: DataFrame, terms: DataFrame, k: int = 8, block: int = 2_000) -> DataFrame:
+    """(query_id, doc_id, score, rank): documents whose text holds one of the question's terms (query_id, term) anywhere, ASCII case aside; all
+    count 1, the first ``k`` by doc_id.
+
+    Distinct terms go to the documents in blocks of about ``block``; a document is read once a block and gives the terms it holds.
+    """
+    known = terms.select("term").distinct()
+    blocks = known.groupBy(F.pmod(F.xxhash64("term"), F.lit(max(1, -(-known.count() // block)))).alias("block")).agg(F.collect_list("term").alias("some"))  # a stated set of questions
+    held = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low")).crossJoin(F.broadcast(blocks)).select("doc_id", F.explode(F.filter("some", lambda t: F.contains(F.col("low"), t))).alias("term"))
+    hits = held.join(terms, "term").select("query_id", "doc_id").distinct().withColumn("score", F.lit(1.0))
+    return _top(hits, k, ["query_id"], "doc_id")
+
+
 def cosine(vectors: DataFrame, questions: DataFrame, k: int = TOP_K * POOL, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, doc_id, score, rank): the nearest vectors (doc_id, embedding) of each question (query_id, embedding).
 

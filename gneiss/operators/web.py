@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -114,13 +114,15 @@ def links(root: Node, base: str) -> list[tuple[str, str]]:
 
 
 def tables(root: Node, most: int = 200) -> list[list[list[str]]]:
-    """Rows of cells of each table: empty cells are dropped before alignment, and rows whose cells are all equal, and tables under two columns."""
+    """Rows of cells of each table: empty cells are dropped before alignment, and so are rows whose cells are all equal, a single one
+    included, and tables under two columns.  Of a longer table the first ``most`` rows, and a row that says how many are missing."""
     out = []
     for t in root.find("table"):
         rows = [[c for c in (" ".join(x.text().split()) for x in r.find("td", "th")) if c] for r in t.find("tr")]
-        rows = [r for r in rows if r and not (len(r) > 1 and len(set(r)) == 1)]
-        if rows and max(map(len, rows)) >= 2:
-            out.append(rows[:most])
+        rows = [r for r in rows if len(set(r)) > 1]
+        if rows:
+            more = len(rows) - most
+            out.append(rows[:most] + ([[f"… {more} further row(s) omitted (showing {most} of {len(rows)}) …"]] if more > 0 else []))
     return out
 
 
@@ -217,20 +219,32 @@ def headlines(root: Node, base: str) -> list[tuple[str, str]]:
     return list(out.items())
 
 
-def page_type(root: Node, text: str) -> tuple[str, float]:
-    """data, mixed, homepage, article or unknown, with a confidence."""
-    n_tables, n_links = sum(len(t) > 2 for t in tables(root)), len(root.find("a"))
-    prose = sum(len(p.text()) for p in root.find("p"))
-    heads = len(root.find("h2", "h3"))
-    if n_tables and prose > 1500:
-        return "mixed", 0.7
-    if n_tables:
-        return "data", 0.8
-    if heads >= 8 and n_links >= 30 and prose < 3000:
-        return "homepage", 0.8
-    if prose > 400 or root.find("article"):
-        return "article", 0.8 if len(text.split()) >= 80 else 0.6
-    return "unknown", 0.3
+# Fixed values, which must match for right results: links to articles, and paths of listings, articles and data.
+ARTICLE_LINK = r"(/article|/story|/post|/blog|/news/|/\d{4}/\d{2}/|/read|/p/|/detail|\.html|\.htm|\.cms|-news-|/newsdetail|/storydetail|/articleshow)"
+LISTING_PATH = r"^(/|/home|/news|/markets?|/finance|/business|/world|/tech|/sports?|/latest|/top-stories?)$"
+ARTICLE_PATH = r"(/article|/story|/post|/blog|/news/\d|/\d{4}/\d{2}|/read|/detail)"
+DATA_PATH = r"(indices|index|market|stocks?|screener|quotes?|rates?|data|dashboard|report)"
+
+
+def page_type(root: Node, url: str) -> tuple[str, float]:
+    """data, mixed, homepage, article or unknown, with a confidence.  Tables decide first, then links to articles on a page that lists, then
+    marks of an article; a bare listing path is a weak homepage."""
+    path = urlparse(url or "").path.rstrip("/")
+    said = lambda rule: re.search(rule, path, re.I) is not None
+    listing = not path or said(LISTING_PATH)
+    grids = sum(bool(t.find("thead")) or len(t.find("th")) >= 2 or len(t.find("tr")) > 2 for t in root.find("table"))
+    linked = sum(bool(re.search(ARTICLE_LINK, a.attrs.get("href") or "", re.I)) and len("".join(x.strip() for x in a.text().splitlines())) > 20 for a in root.find("a"))
+    every = list(root.walk())
+    paged = any(re.search(r"pagination|pager", n.attrs.get("class") or "", re.I) or (n.tag == "nav" and re.search("page", n.attrs.get("aria-label") or "", re.I)) for n in every)
+    marked = any(n.tag == "article" or (n.tag == "script" and n.attrs.get("type") == "application/ld+json") or re.search("Article|NewsArticle|BlogPost", n.attrs.get("itemtype") or "", re.I) for n in every)
+    words = sum(len(b.text().split()) for b in root.find("body")[:1])
+    verdicts = [
+        (grids >= 2 or (grids and said(DATA_PATH)), ("mixed" if linked >= 5 else "data", 0.85 if grids >= 2 else 0.7)),
+        (linked >= 10 or (linked >= 5 and (listing or paged)), ("homepage", min(0.95, 0.6 + linked * 0.02))),
+        (marked or said(ARTICLE_PATH) or words > 400, ("article", 0.8 if marked else 0.65)),
+        (listing, ("homepage", 0.5)),
+    ]
+    return next((v for hit, v in verdicts if hit), ("unknown", 0.3))
 
 
 PAGE = "page_id long, url string, title string, text string, words int, page_type string, confidence double, n_links int, n_tables int, n_headlines int, n_images int, author string, published string, strategy string"
@@ -247,7 +261,7 @@ def extract(pages: DataFrame, least: int = 80) -> DataFrame:
                 tries = [("ld_json", squeeze(ld_json(root) or "")), ("embedded_state", squeeze(parse(state).text(NOISE)) if (state := embedded_state(html)) else ""), ("main_text", main_text(root))]
                 good = [(s, t) for s, t in tries if len(t.split()) >= least and junk(t) < 0.70]
                 how, text = good[0] if good else max(tries, key=lambda x: len(x[1].split()) * (1 - 0.6 * junk(x[1])))
-                kind, sure = page_type(root, text)
+                kind, sure = page_type(root, url)
                 meta = metadata(root)
                 rows.append((page_id, url, title(root), text, len(text.split()), kind, sure, len(links(root, url)), len(tables(root)), len(headlines(root, url)), len(images(root, url)), meta.get("author"), meta.get("published"), how))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in PAGE.split(", ")])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import code, stem
 from gneiss.functions import text as X
 from gneiss.operators import chunking, context, control, dedup, graphs, ontology, relations, retrieval, rollups, web
+from gneiss.plans import scopes as more
 from gneiss.plans import sql as Q
 from gneiss.sources import sinks
 from gneiss.sources.tables import documents, questions, table, vectors
@@ -22,11 +23,11 @@ def query(f):
 
 
 def queries() -> dict:
-    return dict(_all)
+    return _all | more.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in Q.ORACLE.items() if k in _all}
+    return {k: v for k, v in Q.ORACLE.items() if k in _all} | more.oracle_sql()
 
 
 def _question_vectors(s, d) -> DataFrame:
@@ -182,8 +183,8 @@ def keywords_topk(s, d):
 
 @query
 def word_counts(s, d):
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z][A-Za-z']{2,}"), F.lit(0))
-    by_form = documents(s, d).select(F.explode(found).alias("form")).groupBy("form").agg(F.count("*").alias("n")).withColumn("word", F.lower("form")).where(~F.col("word").isin(X.STOP_WORDS))
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(X.CLOUD_WORD), F.lit(0))
+    by_form = documents(s, d).select(F.explode(found).alias("form")).groupBy("form").agg(F.count("*").alias("n")).withColumn("word", F.lower("form")).where((F.length("form") >= 3) & ~F.col("word").isin(X.CLOUD_STOP_WORDS))
     best = F.min(F.struct((-F.col("n")).alias("k"), "form"))["form"]
     return by_form.groupBy("word").agg(F.sum("n").alias("n"), best.alias("display")).orderBy(F.desc("n"), "word").limit(60)
 
@@ -243,8 +244,7 @@ def collection_discovery(s, d):
 @query
 def like_search(s, d):
     terms = questions(s, d).select("query_id", F.explode(X.search_terms(F.col("text"), 6)).alias("term")).distinct()
-    words = documents(s, d).select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    return words.join(terms, "term").select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count("*").alias("hits"), F.min("doc_id").alias("first_doc"))
+    return retrieval.substring_hits(documents(s, d), terms)
 
 
 @query
@@ -383,9 +383,9 @@ def unmitigated_risks(s, d):
 
 @query
 def impact_closure(s, d):
-    """Everything that depends on a nation, through regions as groups: a recursive query over an edge table."""
-    table(s, d, "nation").select((F.col("n_nationkey")).alias("a"), F.floor(F.col("n_nationkey") / 2).cast("int").alias("b")).where("a <> b").createOrReplaceTempView("gneiss_depends")
-    return s.sql("WITH RECURSIVE r(root, node, depth) AS (SELECT a, b, 1 FROM gneiss_depends UNION ALL SELECT r.root, e.b, r.depth + 1 FROM r JOIN gneiss_depends e ON e.a = r.node WHERE r.depth < 10) SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY root, node")
+    """Everything that a nation depends on, at once or through others, and over how few steps."""
+    edges = table(s, d, "nation").select((F.col("n_nationkey")).alias("a"), F.floor(F.col("n_nationkey") / 2).cast("int").alias("b")).where("a <> b")
+    return graphs.closure(edges)
 
 
 @query
@@ -509,8 +509,9 @@ def queue_head(s, d):
 
 @query
 def merge_counts(s, d):
-    e = table(s, d, "events").groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("-", "event_type", F.col("event_id").cast("string")), F.lit(1)))).alias("m"))
-    return e.select(F.explode("m").alias("k", "v")).groupBy(F.split("k", "-")[0].alias("agent")).agg(F.sum("v").alias("n"))
+    """Branches count by agent, in maps of one entry per agent, which are merged by adding."""
+    branch = table(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    return branch.select(F.explode("m").alias("agent", "v")).groupBy("agent").agg(F.sum("v").alias("n"))
 
 
 @query
@@ -599,7 +600,7 @@ def chunk_code(s, d):
 
 @query
 def porter_bm25(s, d):
-    found = retrieval.bm25(documents(s, d), questions(s, d), terms=stem.tokens, query_terms=stem.search_terms)
+    found = retrieval.bm25(documents(s, d), questions(s, d), stems=stem.stems)
     return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 

@@ -6,6 +6,7 @@ from gneiss.functions import text as X
 from gneiss.operators import ontology, relations
 
 _words = ", ".join("'" + w.replace("'", "''") + "'" for w in X.STOP_WORDS)
+_cloud = ", ".join("'" + w.replace("'", "''") + "'" for w in X.CLOUD_STOP_WORDS)
 _tok = f"regexp_extract_all(translate(lower(coalesce(text, '')), '{X.ACCENTS}', '{X.PLAIN}'), '[a-z0-9]+')"
 _docs = "docs AS (SELECT *, CASE WHEN doc_id % 7 <> 0 THEN doc_id * 37 % 365 END AS modified FROM documents)"
 _flat = r"trim(regexp_replace(coalesce({}, ''), '\s+', ' ', 'g'))"
@@ -98,7 +99,7 @@ _status = "st AS (SELECT d.*, CASE WHEN coalesce(length(trim(text)), 0) = 0 THEN
 _mean = "m AS (SELECT label, pos, avg(x::DOUBLE) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY 1, 2)"
 _sentence = r"list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+([A-Z\x{0900}-\x{097F}])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s) <> '')"
 _counts = f"""
-forms AS (SELECT form, count(*) AS n, lower(form) AS word FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z'']{{2,}}')) AS form FROM documents) GROUP BY form HAVING lower(form) NOT IN ({_words})),
+forms AS (SELECT form, count(*) AS n, lower(form) AS word FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z''\-]{{1,}}[A-Za-z]|[A-Za-z]{{2,}}')) AS form FROM documents) GROUP BY form HAVING length(form) > 2 AND lower(form) NOT IN ({_cloud})),
 counted AS (SELECT word, sum(n)::BIGINT AS n, arg_min(form, (-n, form)) AS display FROM forms GROUP BY word ORDER BY n DESC, word LIMIT 60)"""
 _stats = "SELECT source, count(*) AS documents, count(*) FILTER (WHERE length(text) > 0) AS chunks, count(e.vec_id) AS vectors FROM documents d LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) e ON e.vec_id = d.doc_id GROUP BY source"
 
@@ -144,7 +145,7 @@ SELECT doc_id, rank, word, n FROM (SELECT *, row_number() OVER (PARTITION BY doc
     "context_budget": f"{_all_arms}, {_budget('hits')} SELECT query_id, rank, doc_id, chars FROM context",
     "hybrid_search": f"{_all_arms}, {_recent}, three AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n FROM recent), best AS (SELECT query_id, doc_id, source, text, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM three WHERE n <= 3), six AS (SELECT * FROM best WHERE rank <= 6), {_budget('six')} SELECT query_id, rank, doc_id, source, round(score, 6) AS score, chars FROM context",
     "collection_discovery": f"WITH {_lexical}, h AS (SELECT l.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 9) DESC, l.doc_id) AS n FROM lexical l JOIN documents d ON d.doc_id = l.doc_id) SELECT query_id, source, count(*) AS hits, round(max(score), 6) AS top_score, arg_min(doc_id, n) AS best_doc FROM h WHERE n <= 3 GROUP BY 1, 2",
-    "like_search": f"WITH a AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter({_tok}, lambda x: length(x) > 2)[1:6]) AS term FROM benchmark), w AS (SELECT DISTINCT doc_id, unnest({_tok}) AS term FROM documents), h AS (SELECT DISTINCT query_id, doc_id FROM a JOIN w USING (term)) SELECT query_id, count(*) AS hits, min(doc_id) AS first_doc FROM h GROUP BY query_id",
+    "like_search": f"WITH a AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter({_tok}, lambda x: length(x) > 2)[1:6]) AS term FROM benchmark), h AS (SELECT DISTINCT query_id, doc_id FROM a JOIN documents ON contains(lower(coalesce(text, '')), term)) SELECT query_id, doc_id, 1.0::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM h QUALIFY rank <= 8",
     "mean_intent_vector": f"WITH {_mean} SELECT label, pos, round(mean, 6) AS mean FROM m",
     "relevance_filter": f"WITH {_mean}, i AS (SELECT label, list(mean ORDER BY pos) AS intent FROM m GROUP BY label), c AS (SELECT e.label, vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], intent) AS score FROM embeddings e JOIN i ON i.label = e.label), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, doc_id) AS rank FROM c WHERE score >= 0.2) SELECT label, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 15",
     "fingerprint_pairs": f"WITH {_prints} SELECT * FROM sized",
@@ -162,7 +163,7 @@ SELECT doc_id, rank, word, n FROM (SELECT *, row_number() OVER (PARTITION BY doc
     "type_gate": f"WITH {_gated} SELECT predicate, s AS subject_class, o AS object_class, count(*) AS n, bool_and(ok) AS ok, bool_and(inversion_valid) AS inversion_valid, min(reason) AS reason, min(component) AS component FROM gated GROUP BY 1, 2, 3",
     "claim_confidence": f"WITH {_gated}, c AS (SELECT *, round(0.20 * round(l_orderkey % 11 / 10.0::DOUBLE, 3) + 0.20 + 0.15 + 0.10 * CASE WHEN predicate = 'OTHER' THEN 0.5 ELSE 1.0 END + 0.35 * component + 1e-9, 3)::DOUBLE AS confidence FROM gated) SELECT confidence, NOT ok OR confidence < 0.35 AS quarantined, count(*) AS n FROM c GROUP BY 1, 2",
     "unmitigated_risks": "SELECT c_custkey AS risk, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
-    "impact_closure": "WITH RECURSIVE e AS (SELECT n_nationkey AS a, n_nationkey // 2 AS b FROM nation WHERE n_nationkey <> n_nationkey // 2), r AS (SELECT a AS root, b AS node, 1 AS depth FROM e UNION ALL SELECT r.root, e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 10) SELECT root, node, min(depth)::BIGINT AS depth FROM r GROUP BY 1, 2",
+    "impact_closure": "WITH RECURSIVE e AS (SELECT n_nationkey AS a, n_nationkey // 2 AS b FROM nation WHERE n_nationkey <> n_nationkey // 2), r AS (SELECT a AS root, b AS node, 1 AS depth FROM e UNION SELECT r.root, e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node) SELECT root, node, min(depth)::BIGINT AS depth FROM r GROUP BY 1, 2",
     "claim_sets": f"WITH {_gated}, a AS (SELECT DISTINCT s AS subject, predicate, o AS object FROM rel WHERE l_linenumber = 1), b AS (SELECT DISTINCT s AS subject, predicate, o AS object FROM rel WHERE l_linenumber = 5) SELECT *, 'both' AS found FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 'only_a' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'only_b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)",
     "entailment_policy": "WITH r AS (SELECT l_discount * 10 AS e, l_tax * 10 AS c, l_partkey % 10 / 10.0::DOUBLE AS f, l_returnflag = 'R' AS negated, l_linestatus = 'O' AS \"symmetric\" FROM lineitem) SELECT negated, \"symmetric\", CASE WHEN negated THEN CASE WHEN c >= 0.65 THEN 'verified' ELSE 'escalate' END WHEN NOT \"symmetric\" AND f - e >= 0.2::DOUBLE AND f >= 0.65 THEN 'escalate' WHEN c >= 0.65 THEN 'contradicted' WHEN e >= 0.65 THEN 'verified' ELSE 'escalate' END AS decision, count(*) AS n FROM r GROUP BY 1, 2, 3",
     "telemetry_rollup": "WITH e AS (SELECT user_id, max((event_type = 'error')::INT) AS errors FROM events GROUP BY 1) SELECT user_id, event_type, count(*) AS spans, round(sum(value), 4) AS total_ms, max(ts) AS last_seen, any_value(errors) AS errors FROM events JOIN e USING (user_id) GROUP BY 1, 2",
