@@ -149,7 +149,8 @@ def candidates(fps: DataFrame, scheme: list[tuple[list[int], int]], bits: int, h
     """Links (a, b) between the nodes of fps (node long, fp long) that differ in at most ``bits`` bits.
 
     The links join exactly what all links would join, and a bucket gives fewer than it has rows.
-    A bucket with over ``hot`` bases is dealt to several tasks: each gets all its rows and a share of the bases.
+    A bucket with over ``hot`` bases is cut into g shares by the node, and its bases and rows meet in g * g pairs of shares, so that no
+    task holds more than one share of the bases and one of the rows.
     """
     # a pair that meets in several partitions is looked at in the first of them only
     earlier = [(np.uint64(sum(1 << (63 - b) for b in part)), t) for part, t in scheme]
@@ -166,6 +167,9 @@ def candidates(fps: DataFrame, scheme: list[tuple[list[int], int]], bits: int, h
 
     crowded = {r["key"]: -(-r["count"] // hot) for r in fps.select("fp").mapInArrow(base_values, "key long").groupBy("key").count().where(F.col("count") > hot).collect()}
 
+    hot_keys = np.array(sorted(crowded), np.int64)
+    hot_shares = np.array([crowded[k] for k in sorted(crowded)], np.int64)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             all_node, all_fp = (x.column(c).to_numpy(zero_copy_only=False) for c in ("node", "fp"))
@@ -179,17 +183,8 @@ def candidates(fps: DataFrame, scheme: list[tuple[list[int], int]], bits: int, h
                         if not per:
                             continue
                         out = [key.ravel(), np.repeat(node, per), np.repeat(fp.view(np.int64), per), np.zeros(key.size, np.int32), np.full(key.size, own)]
-                        if crowded and (rows := np.flatnonzero(np.isin(out[0], list(crowded)))).size:
-                            more = [[], []]
-                            for r in rows:
-                                g = crowded[int(out[0][r])]
-                                home = int(out[1][r]) % g
-                                out[3][r] = home
-                                more[0] += [r] * (g - 1)
-                                more[1] += [j for j in range(g) if j != home]
-                            extra = [c[more[0]] for c in out]
-                            extra[3], extra[4] = np.array(more[1], np.int32), np.zeros(len(more[0]), bool)
-                            out = [np.concatenate(z) for z in zip(out, extra, strict=True)]
+                        if len(hot_keys):
+                            out = _split(out, hot_keys, hot_shares)
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["key", "node", "fp", "share", "base"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +221,26 @@ def candidates(fps: DataFrame, scheme: list[tuple[list[int], int]], bits: int, h
     return dealt.repartition("key", "share").sortWithinPartitions("key", "share").mapInArrow(verify, "a long, b long")
 
 
+def _split(rows: list[np.ndarray], hot_keys: np.ndarray, hot_shares: np.ndarray) -> list[np.ndarray]:
+    """rows (key, node, fp, share, base) with those of crowded keys dealt to pairs (i, j) of shares, numbered i * g + j: a base of share s
+    stands as a base in all (s, j), and every row of share s to be held against bases in all (i, s)."""
+    at = np.minimum(np.searchsorted(hot_keys, rows[0]), len(hot_keys) - 1)
+    hit = hot_keys[at] == rows[0]
+    if not hit.any():
+        return rows
+    parts = [[c[~hit] for c in rows]]
+    for base in (True, False):
+        some = np.flatnonzero(hit & rows[4]) if base else np.flatnonzero(hit)
+        g = hot_shares[at[some]]
+        home = rows[1][some] % g
+        ends = np.cumsum(g)
+        other = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - g, g)
+        many, per, mine = np.repeat(some, g), np.repeat(g, g), np.repeat(home, g)
+        share = mine * per + other if base else other * per + mine
+        parts.append([rows[0][many], rows[1][many], rows[2][many], share.astype(np.int32), np.full(len(many), base)])
+    return [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
 def _bucket(node: np.ndarray, fp: np.ndarray, base: np.ndarray, bits: int, earlier: list[tuple[np.uint64, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     label = np.arange(len(node))
     for x in np.flatnonzero(base):
@@ -377,20 +392,37 @@ def similar(docs: DataFrame, groups: DataFrame, similarity: float, block: int =
     return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_compare(similarity), "a long, b long")
 
 
+_USED = ["__hash", "__check", "__keep", "__node", "__k", "__n"]
+
+
+def _hash(text: Column, which: int) -> Column:
+    """One of two 64-bit hashes of a text; null counts as empty."""
+    return F.xxhash64(F.lit(which), F.coalesce(text, F.lit("")))
+
+
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near copies: the one with the smallest id (null last), its first text on ties.
 
-    Equal texts are one class.  Texts are linked if the Jaccard similarity of their sets of width-word shingles reaches ``similarity``.
+    Equal texts, by 128 bits of hash, are one class.  Texts are linked if the Jaccard similarity of their sets of width-word shingles reaches ``similarity``.
     Texts that share a key of band_keys(), at once or through others, form a group, and within a group all pairs that are not joined
     yet are compared by their sets.  Two texts of similarity j share no key with probability (1 - j ** ROWS) ** BANDS: 4e-9 at 0.8.
-    Null, empty and blank texts have no shingles and form one group with each other only.
+    Null, empty and blank texts have no shingles and form one group with each other only.  An empty table gives an empty one.  Columns
+    with the names in _USED are left out.
     """
     spark = docs.sparkSession
     tune(spark)
-    names = docs.columns
-    keyed = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    slim = materialise(keyed.select(F.col(id_col).alias("id"), F.col("__node").alias("node"), _bands(F.col(text_col), width).alias("keys")), "bands")
-    classes = materialise(slim.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "classes")
+    names = [c for c in docs.columns if c not in _USED]
+    docs = docs.drop(*_USED)
+    plain = docs.withColumn("__hash", _hash(F.col(text_col), 0)).withColumn("__check", _hash(F.col(text_col), 1))
+    slim = materialise(plain.select(F.col(id_col).alias("id"), F.col("__hash"), F.col("__check"), _bands(F.col(text_col), width).alias("keys")), "bands")
+    texts_ = materialise(slim.groupBy("__hash", "__check").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "classes")
+    # different texts with one 64-bit hash: all but one take their second hash for a name; there are few of them among any number of texts
+    clash = materialise(texts_.groupBy("__hash").agg(F.count("*").alias("n"), F.min("__check").alias("__keep")).where("n > 1").select("__hash", "__keep"), "clashes")
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.join(clash, "__hash", "left").withColumn("__node", F.when(F.col("__check") != F.col("__keep"), F.col("__check")).otherwise(F.col("__hash"))).drop("__hash", "__check", "__keep")
+
+    keyed, classes = named(plain), named(texts_).withColumnRenamed("__node", "node")
     keys = classes.select("node", F.explode("keys").alias("key"))
     groups = materialise(components(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long")), "groups")
     keyed = keyed.withColumn("__k", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))

@@ -64,7 +64,7 @@ def lengths(texts: list[str | None], path: str) -> list[int]:
         for piece in pieces(text or "") if safe else [text or ""]:
             batch.append(piece)
             owner.append(i)
-            size += len(piece)
+            size += len(piece) if piece.isascii() else len(piece.encode())
             if size >= BATCH_BYTES:
                 flush()
                 size = 0
@@ -74,7 +74,11 @@ def lengths(texts: list[str | None], path: str) -> list[int]:
 
 
 def count_tokens(text: Column, model: str = MODEL) -> Column:
-    """Tokens of the whole text (null: of the empty text), as the encoder gives them without begin or end."""
+    """Tokens of the whole text (null: of the empty text, none), as the encoder gives them without begin or end.
+
+    A long text is encoded in pieces cut at safe blanks, and as a whole where it has none.  Equal texts have equal counts, an empty
+    table gives an empty result, and no column is added, so no name can clash.
+    """
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:

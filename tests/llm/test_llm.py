@@ -134,9 +134,10 @@ def removed(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("cells", [1 << 27, 1 << 8])
-def test_substring(spark, folders, cells):
-    """A sketch far too small only sends more rows to the exact pass."""
+@pytest.mark.parametrize("cells,held", [(1 << 27, 1_000_000), (1 << 8, 100)])
+def test_substring(spark, folders, cells, held, monkeypatch):
+    """A sketch far too small, and runs of few windows, only send more rows to the exact pass."""
+    monkeypatch.setattr(substring, "HELD", held)
     for which in ("awkward", "driver"):
         rows = rows_of(folders[which])
         docs = spark.read.parquet(f"{folders[which]}/documents.parquet").select("doc_id", "text")
@@ -258,6 +259,26 @@ def edited(r, words, n, tag):
     return words
 
 
+def test_deduplicate_tells_texts_of_one_hash_apart(spark, monkeypatch):
+    """With a first hash of two values nearly all texts clash; their second one names them."""
+    whole = simhash._hash
+    monkeypatch.setattr(simhash, "_hash", lambda text, which: whole(text, 1) if which else F.pmod(whole(text, 0), F.lit(2)))
+    texts = [f"{w} is a text of its own number {w} and more words {w}" for w in range(30)]  # the last of docs is a near copy
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:5], texts[0] + " tail"])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == list(range(30))
+
+
+def test_crowded_buckets_meet_in_pairs_of_shares():
+    key, node, base = np.array([5, 5, 5, 9, 5], np.int64), np.array([10, 11, 12, 13, 14], np.int64), np.array([True, True, False, True, True])
+    rows = [key, node, node, np.zeros(5, np.int32), base]
+    got = simhash._split(rows, np.array([5]), np.array([3]))
+    met = set()
+    for share in set(got[3][got[0] == 5].tolist()):
+        here = (got[0] == 5) & (got[3] == share)
+        met |= {(int(a), int(b)) for a in got[1][here & got[4]] for b in got[1][here & ~got[4]]}
+    assert met == {(a, b) for a in (10, 11, 14) for b in (10, 11, 12, 14)} and (got[0] == 9).sum() == 1
+
+
 def test_deduplicate_dense_group(spark):
     """Texts of one dense group, most of them just below the similarity: only exact comparison of all pairs tells which are joined."""
     r = np.random.default_rng(4)
