@@ -63,12 +63,17 @@ class Network:
         return np.concatenate([np.maximum(best + self.p["b"], 0), full], 1)
 
     def hidden(self, rows: np.ndarray) -> np.ndarray:
-        """The small layer's outputs for each chunk."""
+        """The small layer's outputs for each chunk.  Blocks are filled up to one size, so that a chunk's numbers don't depend on its neighbours
+        and equal texts have equal scores."""
         best = np.empty((len(rows), FILTERS), np.float32)
         for i in range(0, len(rows), _BLOCK):
-            v = self.windows(rows[i : i + _BLOCK])
-            best[i : i + _BLOCK] = (v.reshape(-1, KERNEL * DIM) @ self.p["w"]).reshape(*v.shape[:2], FILTERS).max(1)
-        return np.maximum(self._inputs(best, rows) @ self.p["u"] + self.p["c"], 0)
+            some = rows[i : i + _BLOCK]
+            if len(some) < _BLOCK:
+                some = np.concatenate([some, np.full((_BLOCK - len(some), CHUNK), _PAD, rows.dtype)])
+            v = self.windows(some)
+            z = (v.reshape(-1, KERNEL * DIM) @ self.p["w"]).reshape(*v.shape[:2], FILTERS).max(1)
+            best[i : i + _BLOCK] = z[: len(rows) - i]
+        return np.maximum(self._inputs(best, rows).astype(np.float64) @ self.p["u"].astype(np.float64) + self.p["c"], 0)
 
     def probability(self, hidden: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Of documents whose chunks begin at the rows ``first``."""
@@ -182,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network
 
 
 def score(text: Column, net: Network) -> Column:
-    """The probability that the text's quality is 1."""
+    """The probability that the text's quality is 1.  Null and empty texts are one empty chunk; every chunk of a long text counts; equal texts
+    have equal scores; an empty table gives an empty result; no column is added, so no name can clash."""
     weights = net.p
 
     @F.arrow_udf("double")
