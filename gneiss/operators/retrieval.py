@@ -135,9 +135,9 @@ def context_budget(ranked: DataFrame, budget: int = BUDGET, rest: int = REST) ->
     return packed.withColumn("text", F.substr("text", F.lit(1), F.least(F.col("__left"), F.length("text")).cast("int"))).drop("__left")
 
 
-def hybrid_search(docs: DataFrame, vectors: DataFrame, questions: DataFrame, question_vectors: DataFrame, k: int = TOP_K) -> DataFrame:
-    """(query_id, rank, doc_id, source, score, text): the context of each question."""
-    fused = rrf(cosine(vectors, question_vectors, k * POOL), bm25(docs, questions, k * POOL), k * POOL)
+def hybrid_search(docs: DataFrame, vectors: DataFrame, questions: DataFrame, question_vectors: DataFrame, k: int = TOP_K, stems=None) -> DataFrame:
+    """(query_id, rank, doc_id, source, score, text): the context of each question; ``stems`` as in bm25()."""
+    fused = rrf(cosine(vectors, question_vectors, k * POOL), bm25(docs, questions, k * POOL, stems=stems), k * POOL)
     hydrated = fused.join(docs.select("doc_id", "source", "modified", "text"), "doc_id")
     best = diversify(recency_rerank(hydrated), "source", PER_DOC, k)
     return context_budget(best).select("query_id", "rank", "doc_id", "source", F.round("score", 6).alias("score"), "text")

@@ -236,6 +236,13 @@ def hybrid_search(s, d):
     return out.select("query_id", "rank", "doc_id", "source", "score", F.length("text").cast("long").alias("chars"))
 
 
+@query
+def hybrid_stemmed(s, d):
+    """The same over stems; tests hold its lexical arm against SQLite's index."""
+    out = retrieval.hybrid_search(documents(s, d), _doc_vectors(s, d), questions(s, d), _question_vectors(s, d), stems=stem.stems)
+    return out.select("query_id", "rank", "doc_id", "source", "score", F.length("text").cast("long").alias("chars"))
+
+
 @query
 def collection_discovery(s, d):
     return retrieval.discover_collections(_lexical(s, d).join(documents(s, d).select("doc_id", "source"), "doc_id")).withColumn("top_score", F.round("top_score", 6))
