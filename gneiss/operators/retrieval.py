@@ -165,3 +165,13 @@ def relevance_filter(vectors: DataFrame, intents: DataFrame, least: float = 0.70
     """The best vectors of each label of at least ``least`` similarity to the label's intent vector."""
     scored = vectors.join(intents, "label").select("label", "doc_id", cosine_of(F.col("embedding"), F.col("intent")).alias("score")).where(F.col("score") >= least)
     return _top(scored, most, ["label"], F.desc(F.round("score", 9)), "doc_id")
+
+
+def relevant(vectors: DataFrame, intents: DataFrame, least: float = 0.70, most: int = 15) -> DataFrame:
+    """(label, doc_id, rank, score, had_any_match): relevance_filter for the labels with an intent vector; of a label without one the first ``most``,
+    unfiltered and without a score; a label whose vectors all fall short keeps one row without a document that says so."""
+    known = relevance_filter(vectors, intents, least, most).select("label", "doc_id", "rank", "score", F.lit(True).alias("had_any_match"))
+    bare = _top(vectors.join(intents, "label", "left_anti").select("label", "doc_id"), most, ["label"], "doc_id").select("label", "doc_id", "rank", F.lit(None).cast("double").alias("score"), F.lit(True).alias("had_any_match"))
+    short = vectors.select("label").distinct().join(intents, "label", "left_semi").join(known.select("label").distinct(), "label", "left_anti")
+    none = short.select("label", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("rank"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("had_any_match"))
+    return known.unionByName(bare).unionByName(none)

@@ -207,3 +207,39 @@ def flowchart_edges(charts: DataFrame) -> DataFrame:
     return rows.select("chart", "pos", "e.a", "e.b", F.coalesce("e.label", F.lit("")).alias("label"))
 
 
+def deferred(requests: DataFrame, most: int = 6) -> DataFrame:
+    """requests (run, key, seq, seconds, waited) with outcome: the first of a key in a run is scheduled while fewer than ``most`` are, a repeated
+    one is a duplicate and one too many refused; a scheduled one that takes longer than it is waited for is dropped, else done."""
+    first = F.row_number().over(Window.partitionBy("run", "key").orderBy("seq")) == 1
+    n = F.sum(F.col("__first").cast("int")).over(Window.partitionBy("run").orderBy("seq"))
+    late = F.when(F.col("seconds") > F.col("waited"), "dropped").otherwise("done")
+    out = requests.withColumn("__first", first).withColumn("__n", n)
+    return out.withColumn("outcome", F.when(~F.col("__first"), "duplicate").when(F.col("__n") > most, "refused").otherwise(late)).drop("__first", "__n")
+
+
+def backfilled(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs (path, modified) with modified filled from the files found (path, modified), and the outcome of each."""
+    f = found.select("path", F.col("modified").alias("__f"), F.lit(True).alias("__there"))
+    out = docs.join(f, "path", "left")
+    what = F.when(F.col("modified").isNotNull(), "kept").when(F.col("__there").isNull(), "missing_file").when(F.col("__f").isNull(), "no_date").otherwise("filled")
+    return out.withColumn("outcome", what).withColumn("modified", F.coalesce("modified", "__f")).drop("__f", "__there")
+
+
+def crawl_links(links: DataFrame, now: Column, hours: int, most: int = 50) -> DataFrame:
+    """Of the links (page_id, base, url, text) of a front page those of its own host that carry a day in their path, by how new it is, or look like
+    an article's (0.4): (page_id, place, url, score), each once."""
+    from gneiss.functions import text as X
+    from gneiss.operators import web
+
+    host = lambda c: F.regexp_extract(c, r"^https?://([^/?#]+)", 1)
+    path = F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1)
+    own = links.where(host(F.col("url")) == host(F.col("base"))).select("page_id", "url").distinct().withColumn("path", path)
+    new = X.recency(web.url_date(F.col("url")), now, hours * 24)
+    scored = own.withColumn("score", F.when(new > 0, new).when(F.col("path").rlike("(?i)" + web.ARTICLE_LINK), 0.4)).where("score is not null")
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "url")).cast("long")
+    return scored.select("page_id", place.alias("place"), "url", F.round("score", 6).alias("score")).where(F.col("place") <= most)
+
+
+def result_label(words: Column, failed: Column, rendering: Column, late: Column, cut: Column, least: int = 80) -> Column:
+    """How far a page's result can be trusted, the most serious reason first."""
+    return F.when(failed, "error").when(rendering, "partial, still rendering").when(late, "late").when(words < least, "insufficient content").when(cut, "cut to fit the budget").otherwise("complete")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import code
 from gneiss.functions import text as X
-from gneiss.operators import chunking, context, ontology, scopes, web
-from gneiss.sources import files
+from gneiss.operators import chunking, context, ontology, retrieval, scopes, web
+from gneiss.sources import files, providers
 from gneiss.sources.tables import documents, table
 
 _all: dict = {}
@@ -318,3 +318,45 @@ def question_context(s, d):
     hits = s.createDataFrame([(1, 1, "a.md", None, "c1", 9, "part"), (1, 2, "b.md", None, "c2", 5, " other "), (2, 1, "b.md", None, "c2", 5, "other")], "query_id int, rank int, file_name string, modified string, chunk string, score long, text string")
     facts = s.createDataFrame([(1, 1, "x", "y", 3)], "query_id int, rank int, a string, b string, weight long")
     return context.question_context(hits, s.createDataFrame([(1, "A.md", " whole ")], "query_id int, file_name string, text string"), facts)
+
+
+@query("""WITH r AS (SELECT user_id AS run, event_type AS key, event_id AS seq, value AS seconds FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY run, key ORDER BY seq) = 1 AS first FROM r),
+n AS (SELECT *, sum(first::INT) OVER (PARTITION BY run ORDER BY seq) AS n FROM f) SELECT CASE WHEN NOT first THEN 'duplicate' WHEN n > 3 THEN 'refused' WHEN seconds > 50 THEN 'dropped' ELSE 'done' END AS outcome, count(*) AS n FROM n GROUP BY 1""")
+def deferred_work(s, d):
+    e = table(s, d, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("key"), F.col("event_id").alias("seq"), F.col("value").alias("seconds"), F.lit(50.0).alias("waited"))
+    return scopes.deferred(e, 3).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT outcome, count(*) AS n, count(modified) AS dated FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'kept' WHEN c_custkey IS NULL THEN 'missing_file' WHEN c_acctbal < 0 THEN 'no_date' ELSE 'filled' END AS outcome, CASE WHEN o_orderkey % 3 = 0 OR c_acctbal >= 0 THEN 1 END AS modified
+FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON c_custkey = o_custkey) GROUP BY 1""")
+def backfilled_dates(s, d):
+    docs = table(s, d, "orders").select(F.col("o_custkey").alias("path"), F.when(F.col("o_orderkey") % 3 == 0, F.lit(1.0)).alias("modified"))
+    found = table(s, d, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("path"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal").cast("double")).alias("modified"))
+    return scopes.backfilled(docs, found).groupBy("outcome").agg(F.count("*").alias("n"), F.count("modified").alias("dated"))
+
+
+_LINKS = [("http://a.b/x/2024-01-19/one", "t"), ("http://a.b/news/two", "t"), ("http://a.b/news/two", "u"), ("http://c.d/news/three", "t"), ("http://a.b/plain", "t"), ("http://a.b/2001/01/01/old.html", "t")]
+
+
+@query(_values("page_id, place, url, score", [(1, 1, "http://a.b/x/2024-01-19/one", 0.9), (1, 2, "http://a.b/2001/01/01/old.html", 0.4), (1, 3, "http://a.b/news/two", 0.4)]).replace("SELECT *", "SELECT page_id, place, url, score::DOUBLE AS score"))
+def crawl_links(s, d):
+    links = s.createDataFrame([(1, "http://a.b/", *x) for x in _LINKS], "page_id long, base string, url string, text string")
+    return scopes.crawl_links(links, F.lit("2024-01-20").cast("timestamp"), 10)
+
+
+@query(_values("n, label", [(1, "error"), (2, "partial, still rendering"), (3, "insufficient content"), (4, "cut to fit the budget"), (5, "complete"), (6, "late")]))
+def result_labels(s, d):
+    rows = s.createDataFrame([(1, 9, True, True, False, False), (2, 9, False, True, False, False), (3, 79, False, False, False, True), (4, 80, False, False, False, True), (5, 80, False, False, False, False), (6, 9, False, False, True, False)], "n int, words int, failed boolean, rendering boolean, late boolean, cut boolean")
+    return rows.select("n", scopes.result_label(*map(F.col, ["words", "failed", "rendering", "late", "cut"])).alias("label"))
+
+
+@query(_values("label, doc_id, had_any_match", [("a", 1, True), ("b", -1, False), ("c", 4, True), ("c", 5, True)]))
+def relevance_flags(s, d):
+    rows = s.createDataFrame([("a", 1, [1.0, 0.0]), ("a", 2, [0.0, 1.0]), ("b", 3, [0.0, 1.0]), ("c", 4, [1.0, 1.0]), ("c", 5, [1.0, 1.0]), ("c", 6, [1.0, 1.0])], "label string, doc_id long, embedding array<double>")
+    intents = s.createDataFrame([("a", [1.0, 0.1]), ("b", [1.0, 0.0])], "label string, intent array<double>")
+    return retrieval.relevant(rows, intents, 0.7, 2).select("label", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "had_any_match")
+
+
+@query("SELECT doc_id, 8 AS size, 'hashed' AS model FROM documents")
+def provider_vectors(s, d):
+    return providers.apply(documents(s, d).select("doc_id", "text"), "hashed", "text", "embedding", "array<double>").select("doc_id", F.size("embedding").alias("size"), "model")
