@@ -23,7 +23,7 @@ def test_stemmed_bm25_like_a_full_text_index(spark):
     con.executemany("INSERT INTO f(rowid, t) VALUES (?, ?)", list(enumerate(TEXTS, 1)))
     docs = spark.createDataFrame(list(enumerate(TEXTS, 1)), "doc_id long, text string")
     asked = ["dog chases cat", "relation of databases", "ecole etudiant", "generalization oscillating runs"]
-    got = retrieval.bm25(docs, spark.createDataFrame(list(enumerate(asked)), "query_id long, text string"), terms=stem.tokens, query_terms=stem.search_terms).collect()
+    got = retrieval.bm25(docs, spark.createDataFrame(list(enumerate(asked)), "query_id long, text string"), stems=stem.stems).collect()
     for i, q in enumerate(asked):
         match = " OR ".join(f'"{w}"' for w in q.split() if len(w) > 2)
         want = {r: -s for r, s in con.execute("SELECT rowid, bm25(f) FROM f WHERE f MATCH ?", (match,))}
