@@ -99,7 +99,7 @@ _status = "st AS (SELECT d.*, CASE WHEN coalesce(length(trim(text)), 0) = 0 THEN
 _mean = "m AS (SELECT label, pos, avg(x::DOUBLE) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY 1, 2)"
 _sentence = r"list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+([A-Z\x{0900}-\x{097F}])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s) <> '')"
 _counts = f"""
-forms AS (SELECT form, count(*) AS n, lower(form) AS word FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z''\-]{{1,}}[A-Za-z]|[A-Za-z]{{2,}}')) AS form FROM documents) GROUP BY form HAVING length(form) > 2 AND lower(form) NOT IN ({_cloud})),
+forms AS (SELECT form, count(*) AS n, lower(form) AS word FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z''\\-]{{1,}}[A-Za-z]|[A-Za-z]{{2,}}')) AS form FROM documents) GROUP BY form HAVING length(form) > 2 AND lower(form) NOT IN ({_cloud})),
 counted AS (SELECT word, sum(n)::BIGINT AS n, arg_min(form, (-n, form)) AS display FROM forms GROUP BY word ORDER BY n DESC, word LIMIT 60)"""
 _stats = "SELECT source, count(*) AS documents, count(*) FILTER (WHERE length(text) > 0) AS chunks, count(e.vec_id) AS vectors FROM documents d LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) e ON e.vec_id = d.doc_id GROUP BY source"
 
