@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gneiss.llm import decontam, fingerprints, licenses, mixing, quality, sharding, simhash, substring, tokenbin, tokencount
+from gneiss.llm import bytebpe, decontam, fingerprints, licenses, mixing, quality, sharding, simhash, spelling, substring, tokenbin, tokencount
 
 
 def queries() -> dict:
@@ -19,9 +19,11 @@ def queries() -> dict:
         "op8_token_counts": tokencount.op8_token_counts,
         "op9_mixing": mixing.op9_mixing,
         "op10_decontamination": decontam.op10_decontamination,
+        "op11_spelling": spelling.op11_spelling,
+        "op12_byte_bpe": bytebpe.op12_byte_bpe,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": substring.ORACLE}
+    return {"op5_substring_dedup": substring.ORACLE, "op11_spelling": spelling.ORACLE}
