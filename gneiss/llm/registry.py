@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gneiss.llm import bytebpe, decontam, fingerprints, licenses, mixing, quality, sharding, simhash, spelling, substring, tokenbin, tokencount
+from gneiss.llm import bytebpe, decontam, erasure, fingerprints, licenses, mixing, quality, sharding, simhash, spelling, substring, tokenbin, tokencount
 
 
 def queries() -> dict:
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op10_decontamination": decontam.op10_decontamination,
         "op11_spelling": spelling.op11_spelling,
         "op12_byte_bpe": bytebpe.op12_byte_bpe,
+        "op13_erasure": erasure.op13_erasure,
         "pipeline": corpus_pipeline.run,
     }
 
