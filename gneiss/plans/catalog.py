@@ -9,12 +9,14 @@ from gneiss.functions import code, stem
 from gneiss.functions import text as X
 from gneiss.operators import chunking, context, control, dedup, graphs, ontology, relations, retrieval, rollups, web
 from gneiss.plans import scopes as more
+from gneiss.plans import rounds, streams, terms
 from gneiss.plans import sql as Q
 from gneiss.sources import sinks
 from gneiss.sources.tables import documents, questions, table, vectors
 from gneiss.streaming import jobs
 
 _all: dict = {}
+_more = [m.registry for m in (streams, rounds, terms)]
 
 
 def query(f):
@@ -23,11 +25,11 @@ def query(f):
 
 
 def queries() -> dict:
-    return _all | more.queries()
+    return _all | more.queries() | {k: f for r in _more for k, f in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in Q.ORACLE.items() if k in _all} | more.oracle_sql()
+    return {k: v for k, v in Q.ORACLE.items() if k in _all} | more.oracle_sql() | {k: q for r in _more for k, q in r.sql.items()}
 
 
 def _question_vectors(s, d) -> DataFrame:

@@ -103,6 +103,14 @@ forms AS (SELECT form, count(*) AS n, lower(form) AS word FROM (SELECT unnest(re
 counted AS (SELECT word, sum(n)::BIGINT AS n, arg_min(form, (-n, form)) AS display FROM forms GROUP BY word ORDER BY n DESC, word LIMIT 60)"""
 _stats = "SELECT source, count(*) AS documents, count(*) FILTER (WHERE length(text) > 0) AS chunks, count(e.vec_id) AS vectors FROM documents d LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) e ON e.vec_id = d.doc_id GROUP BY source"
 
+_S = r"[-_\s/]*"
+_FORMS = {True: rf"\bCC{_S}BY{_S}NC{_S}4\.0\b|\bCC{_S}BY{_S}NC\b|\bGPL\b", False: rf"(?i)\b(?:Apache{_S}License,{_S}Version{_S}2\.0|GNU{_S}General{_S}Public{_S}License|All{_S}rights{_S}reserved|Apache{_S}License|MIT{_S}License|License)\b"}
+_scan = " UNION ALL ".join(f"SELECT doc_id, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS ms FROM documents WHERE text IS NOT NULL" for p in _FORMS.values())
+#: Mentions by one pattern for each of the two kinds of forms, whose mentions don't overlap in this vocabulary.
+_named = rf"""scan AS ({_scan}), placed AS (SELECT doc_id, gaps, ms, unnest(range(1, len(ms) + 1)) AS k FROM scan),
+spans AS (SELECT doc_id, (list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0))::INT AS start, ms[k] AS surface, lower(regexp_replace(ms[k], '[-_\s/]+', '', 'g')) AS key FROM placed),
+named AS (SELECT doc_id, start, (start + length(surface))::INT AS "end", surface, CASE key WHEN 'mitlicense' THEN 'MIT License' WHEN 'apachelicense' THEN 'Apache License' WHEN 'apachelicense,version2.0' THEN 'Apache License' WHEN 'gnugeneralpubliclicense' THEN 'GNU General Public License' WHEN 'gpl' THEN 'GNU General Public License' WHEN 'ccbync' THEN 'CC BY-NC' WHEN 'ccbync4.0' THEN 'CC BY-NC' WHEN 'allrightsreserved' THEN 'All rights reserved' ELSE 'License' END AS canonical,
+  CASE key WHEN 'allrightsreserved' THEN 'Vendor' WHEN 'license' THEN 'ambiguous' ELSE 'Licence' END AS class FROM spans)"""
 ORACLE = {
     "corpus_stats": _stats,
     "status_tally": f"WITH {_status} SELECT status, count(*) AS n FROM st GROUP BY status",
@@ -154,6 +162,9 @@ SELECT doc_id, rank, word, n FROM (SELECT *, row_number() OVER (PARTITION BY doc
     "absorbed": f"WITH {_prints} SELECT big, small, round(coverage, 6) AS coverage FROM (SELECT *, row_number() OVER (PARTITION BY small ORDER BY round(coverage, 9) DESC, big) AS n FROM contains) WHERE n = 1",
     "near_components": f"WITH RECURSIVE {_prints}, e AS (SELECT a, b FROM near UNION SELECT b, a FROM near), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS label FROM r GROUP BY node",
     "file_families": "SELECT lower(p_brand) AS family, count(*) AS members, min(p_partkey) AS first FROM part GROUP BY 1",
+    "gazetteer_find": f"WITH {_named} SELECT * FROM named",
+    "entity_build": f"WITH {_named}, s AS (SELECT canonical, class, surface, count(*) AS n FROM named GROUP BY ALL) SELECT canonical, class, string_agg(surface, '|' ORDER BY n DESC, surface) AS surfaces, sum(n)::BIGINT AS mentions, (SELECT count(DISTINCT doc_id) FROM named d WHERE d.canonical = s.canonical AND d.class = s.class) AS docs, CASE class WHEN 'ambiguous' THEN 'quarantined' WHEN 'Vendor' THEN 'weak' ELSE 'active' END AS status FROM s GROUP BY canonical, class",
+    "trigger_budget": f"WITH {_named}, p AS (SELECT doc_id, count(*) AS m, count(DISTINCT canonical) AS e, count(DISTINCT canonical) FILTER (WHERE class NOT IN ('Vendor', 'ambiguous')) AS s FROM named GROUP BY doc_id), r AS (SELECT 'R1' AS rule, count(*) FILTER (WHERE m >= 2) AS chunks FROM p UNION ALL SELECT 'R2', count(*) FILTER (WHERE e >= 2) FROM p UNION ALL SELECT 'R3', count(*) FILTER (WHERE s >= 2) FROM p UNION ALL SELECT 'R4', count(*) FILTER (WHERE s >= 3) FROM p UNION ALL SELECT 'R5', count(*) FILTER (WHERE s >= 2 AND m >= 4) FROM p UNION ALL SELECT 'R6', count(*) FILTER (WHERE s >= 1 AND e >= 2) FROM p) SELECT rule, chunks, round(chunks * 4.0::DOUBLE / 3 / 3600, 4) AS hours FROM r",
     "mention_explode": f"WITH {_mentions} SELECT doc_id, pos, raw, name FROM good",
     "entity_exact_clusters": f"WITH {_mentions} SELECT name, arg_min(raw, (-length(raw), doc_id, pos)) AS canonical, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM good GROUP BY name",
     "cooccurrence_edges": f"WITH {_mentions} SELECT * FROM edges",
