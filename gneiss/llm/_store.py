@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -49,5 +50,26 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def keeps(*own: str):
+    """Of an operator (docs, ...) that uses the column names ``own`` in its work: columns of docs with such names come back unchanged, in their place.
+
+    They have other names meanwhile.  A name that the operator gives a result of its own is the result's.  Names are compared as Spark does, without case.
+    """
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run(docs: DataFrame, *args, **how) -> DataFrame:
+            away = {c: f"kept_{uuid.uuid4().hex}" for c in docs.columns if c.lower() in own}
+            if not away:
+                return f(docs, *args, **how)
+            out = f(docs.withColumnsRenamed(away), *args, **how)
+            made = {c.lower() for c in out.columns}
+            return out.drop(*[n for c, n in away.items() if c.lower() in made]).withColumnsRenamed({n: c for c, n in away.items() if c.lower() not in made})
+
+        return run
+
+    return wrap
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm._store import discard, materialise, table, tune
+from gneiss.llm._store import discard, keeps, materialise, table, tune
 
 SEED, MAX_EPOCHS, MAX_LEAVES = 17, 2, 20_000
 DOMAIN_WEIGHTS = {"domain0": 4.0, "domain1": 3.0, "domain2": 2.0, "domain3": 1.0}
@@ -86,12 +86,19 @@ def domain_of(source: Column) -> Column:
     return F.concat(F.lit("domain"), F.coalesce(number % 4, F.lit(0)).cast("string"))
 
 
+#: Columns that the mixture makes for itself or as a result.
+_OWN = ("__domain", "__lang", "__source", "__tokens", "__place", "__epochs", "__cut", "__copies")
+
+
+@keeps(*_OWN)
 def mix(docs: DataFrame, share: float = 1.0, seed: int = SEED, max_epochs: int = MAX_EPOCHS, domain_weights: dict[str, float] | None = None, lang_weights: dict[str, float] | None = None, source_weights: dict[str, float] | None = None, domain: Column | None = None) -> DataFrame:
     """docs with __domain, __tokens, __epochs (whole epochs of its leaf), __copies (int, how often the document is taken).
 
     The budget is ``share`` of all tokens; weights not named are 1.  A null lang or source is a leaf of its own, of weight 1.  A leaf
     without tokens has no whole epochs and gives its documents once, at no cost, if it has a budget share at all (max_epochs
-    > 0).  Equal rows stand at one place of the order and are taken or left together.  More than MAX_LEAVES leaves are refused.
+    > 0).  Equal rows stand at one place of the order and are taken or left together.  More than MAX_LEAVES leaves are refused.  A null or
+    empty text has no tokens, texts of any length are counted whole, an empty table gives an empty one.  Columns named as a result are replaced, all
+    others come back as they are.
     """
     tune(docs.sparkSession)
     dom = domain_of(F.col("source")) if domain is None else domain
@@ -147,6 +154,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__domain").alias("domain"), "lang", "source", F.col("__tokens").alias("n_tokens"), F.col("__epochs").alias("whole_epochs"), F.col("__copies").alias("copies"))
 
 
+@keeps(*_OWN, "__turn")
 def repeated(docs: DataFrame, **how) -> DataFrame:
     """The mixture itself: each document as often as it is taken, with the columns of docs."""
     names = docs.columns

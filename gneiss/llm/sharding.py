@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm._store import discard, materialise, table, tune
+from gneiss.llm._store import discard, keeps, materialise, table, tune
 
 PROBES, TOLERANCE, PART_BYTES, OVERHEAD = 24, 0.002, 256 << 20, 8
 #: Probes and tolerance, as a share of a part, of cuts inside a shard: they only bound what a task sorts.
@@ -102,17 +102,23 @@ def splitters(slim: DataFrame, parts: int, each: int = 1, tolerance: float = TOL
     return cut, count(slim, cut, width)[1], stuck
 
 
+@keeps("__key", "__part", "__n", "__row")
 def shard(docs: DataFrame, shards: int = 24, tolerance: float = TOLERANCE, part_bytes: int = PART_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 within the shard).
 
     Law ``bytes``: the sizes of shards differ by the tolerance or by single rows.  A null id sorts as the smallest, a null
     text is hashed as a value of its own with size 8.  An empty table gives an empty result.  A shard over part_bytes is sorted in
     several tasks.  Rows equal in id and text stay together unless they are more than a shard can take.  Columns named shard or slot
-    are replaced; __key, __part, __n and __row are used and left out.
+    are replaced, all others come back as they are.
     """
+    return _shard(docs, shards, tolerance, part_bytes, id_col, text_col)
+
+
+def _shard(docs: DataFrame, shards: int, tolerance: float, part_bytes: int, id_col: str, text_col: str) -> DataFrame:
+    """shard() of docs without the columns that it uses; __row tells equal rows apart where it is given."""
     spark = docs.sparkSession
     tune(spark)
-    docs = docs.drop("shard", "slot", "__key", "__part", "__n")
+    docs = docs.drop("shard", "slot")
     longs = [F.xxhash64(text_col), F.col(id_col).cast("long"), *([F.col("__row")] if "__row" in docs.columns else [])]
     key, width = _key(*longs), 8 * len(longs)
     slim = materialise(docs.select(key.alias("key"), size_of(F.col(text_col)).alias("size")), "shard-keys")
@@ -122,7 +128,7 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = TOLERANCE, part_
     discard(slim)
     if stuck and width == 16:
         numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")  # read twice, so written once
-        return shard(numbered, shards, tolerance, part_bytes, id_col, text_col)
+        return _shard(numbered, shards, tolerance, part_bytes, id_col, text_col)
     at = _bytes(cuts, width)
 
     @F.pandas_udf("int")
