@@ -249,9 +249,11 @@ def erase(spark: SparkSession, clients: DataFrame, clicks: DataFrame, sales: Dat
     root, key = f"{shared_dir(spark)}/erasure-{uuid.uuid4().hex}", f"__key_{uuid.uuid4().hex}"
     work = f"{root}/work"
     own = sales.where("sale_id IS NOT NULL AND client_id IS NOT NULL").groupBy("sale_id").agg(F.min("client_id").alias(f"{key}o"))
+    own = materialise(own, "owners")  # sums up by the same key as the join, which could not split a sale with most of the lines otherwise
     keyed = lines.join(own.withColumnRenamed("sale_id", f"{key}s"), F.col("sale_id") == F.col(f"{key}s"), "left").withColumn(key, key_of(F.col(f"{key}o"))).drop(f"{key}o", f"{key}s")
     laid = [lay_out(df.withColumn(key, key_of(F.col("client_id"))), key, name, root, "client_id", files) for name, df in (("clients", clients), ("clicks", clicks), ("sales", sales))]
     laid.append(lay_out(keyed, key, "sale_lines", root, "sale_id", files, by_id=True))
+    discard(own)
     found = masters(clients, clicks)
     theirs = clients.join(found, "master_id", "left_semi").where("client_id IS NOT NULL").select(key_of(F.col("client_id")).alias("crc"), F.col("client_id").cast("long").alias("id")).distinct()
     theirs.repartitionByRange("crc", "id").sortWithinPartitions("crc", "id").write.parquet(f"{work}/victims")
