@@ -21,7 +21,7 @@ from gneiss.llm._store import table, tune
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Most frequent words of the corpus whose ids are folded once and sent to every task: this bounds what goes through the driver.
-FREQUENT = 1 << 19
+FREQUENT = 1 << 18
 #: Distinct words that a task sums up before it sends its counts.
 COUNTED = 1 << 18
 #: Bytes of a word that the fold takes; its work grows with the square of a word's length, so longer ones are merged by a heap.
