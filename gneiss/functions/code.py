@@ -31,7 +31,7 @@ def symbols(text: Column, lang: str, most: int = 60) -> Column:
     found = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rx), F.lit(1)) for rx in SYMBOLS.get(lang, [])]
     if not found:
         return F.array().cast("array<string>")
-    return F.slice(F.array_distinct(F.filter(F.transform(F.concat(*found), F.trim), lambda x: x != "")), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(F.concat(*found), lambda x: F.trim(x)), lambda x: x != "")), 1, most)
 
 
 def code_quality(text: Column, lang: str) -> Column:

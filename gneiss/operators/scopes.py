@@ -123,10 +123,10 @@ def without_superseded(docs: DataFrame, roles: DataFrame) -> DataFrame:
     return docs.join(roles.where(F.col("role").isin(*GONE)).select("doc_id"), "doc_id", "left_anti")
 
 
-def select_chunks(ms: DataFrame, done: DataFrame, roles: DataFrame, weak: tuple[str, ...] = ("Vendor", "ambiguous")) -> DataFrame:
+def select_chunks(ms: DataFrame, done: DataFrame, roles: DataFrame, weak: tuple[str, ...] = ("Vendor",)) -> DataFrame:
     """(doc_id, strong, listed): chunks with STRONG strong entities or more that are neither done (doc_id) nor retired, and at most LISTED of
-    their entities, strong ones first, then by first place."""
-    left = without_superseded(ms, roles).join(done.select("doc_id"), "doc_id", "left_anti")
+    their entities, strong ones first, then by first place.  Ambiguous mentions count for nothing and are not listed."""
+    left = without_superseded(ms.where("class <> 'ambiguous'"), roles).join(done.select("doc_id"), "doc_id", "left_anti")
     one = left.groupBy("doc_id", "canonical").agg(F.min("start").alias("at"), F.bool_or(~F.col("class").isin(*weak)).alias("strong"))
     some = one.groupBy("doc_id").agg(F.count_if("strong").alias("strong"), F.array_sort(F.collect_list(F.struct((~F.col("strong")).alias("later"), "at", "canonical"))).alias("es")).where(F.col("strong") >= STRONG)
     return some.select("doc_id", "strong", F.array_join(F.transform(F.slice("es", 1, LISTED), lambda e: e["canonical"]), "|").alias("listed"))
@@ -225,17 +225,22 @@ def backfilled(docs: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumn("outcome", what).withColumn("modified", F.coalesce("modified", "__f")).drop("__f", "__there")
 
 
-def crawl_links(links: DataFrame, now: Column, hours: int, most: int = 50) -> DataFrame:
-    """Of the links (page_id, base, url, text) of a front page those of its own host that carry a day in their path, by how new it is, or look like
-    an article's (0.4): (page_id, place, url, score), each once."""
+#: What the path of an article looks like to the crawler.
+CRAWLED = (r"/\d{4}/\d{2}/\d{2}/", r"/\d{4}-\d{2}-\d{2}[/-]", r"[/-](news|article|story|post|blog)[/-]", r"[/-](markets|stocks|economy|business|finance|politics)[/-]", r"-\d{7,}[/-]?$")
+
+
+def crawl_links(links: DataFrame, now: Column, hours: int, most: int = 100) -> DataFrame:
+    """Of the links (page_id, base, url, text) of a front page those of its own host that carry a day of any century in their path, by how new it is
+    within 24 times ``hours``, or look like an article's (0.4): (page_id, place, url, score), each once."""
     from gneiss.functions import text as X
-    from gneiss.operators import web
 
     host = lambda c: F.regexp_extract(c, r"^https?://([^/?#]+)", 1)
     path = F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1)
     own = links.where(host(F.col("url")) == host(F.col("base"))).select("page_id", "url").distinct().withColumn("path", path)
-    new = X.recency(web.url_date(F.col("url")), now, hours * 24)
-    scored = own.withColumn("score", F.when(new > 0, new).when(F.col("path").rlike("(?i)" + web.ARTICLE_LINK), 0.4)).where("score is not null")
+    part = lambda i: F.regexp_extract("path", r"(\d{4})[/-](\d{2})[/-](\d{2})", i)
+    day = F.when(part(1) != "", F.try_to_timestamp(F.concat_ws("-", part(1), part(2), part(3)), F.lit("yyyy-MM-dd")))
+    new = X.recency(day, now, hours * 24)
+    scored = own.withColumn("score", F.when(new > 0, new).when(F.col("path").rlike("(?i)" + "|".join(CRAWLED)), 0.4)).where("score is not null")
     place = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "url")).cast("long")
     return scored.select("page_id", place.alias("place"), "url", F.round("score", 6).alias("score")).where(F.col("place") <= most)
 

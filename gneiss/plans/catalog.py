@@ -638,6 +638,21 @@ def hydrate_facts(s, d):
     return context.hydrate(_fused(s, d), graphs.mentions(documents(s, d)))
 
 
+@query
+def question_context(s, d):
+    """All that a question is given: its best document whole if it is short, excerpts of its other hits, and facts around them."""
+    from gneiss.streaming.replay import new_folder
+
+    folder = new_folder(s, "hits")
+    _fused(s, d).write.parquet(folder)  # read three times
+    hits = s.read.parquet(folder)
+    name = F.concat(F.lit("doc"), "doc_id", F.lit(".txt"))
+    whole = hits.where((F.col("rank") == 1) & (F.length("text") <= 8000)).select("query_id", name.alias("file_name"), "text")
+    said = hits.where("rank <= 6").select("query_id", "rank", name.alias("file_name"), F.col("modified").cast("string").alias("modified"), F.col("doc_id").cast("string").alias("chunk"), F.round(F.col("score") * 1000000).cast("long").alias("score"), "text")
+    facts = context.hydrate(hits, graphs.mentions(documents(s, d)))
+    return context.question_context(said, whole, facts).select("query_id", "place", "kind", F.md5("block").alias("block"))
+
+
 @query
 def trace_node_cap(s, d):
     return graphs.cap_nodes(hydrate_facts(s, d).select("query_id", "a", "b", "weight"), 15)
