@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as X
@@ -48,15 +48,36 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int = TOP_K * POOL, scopes: D
     return _top(scored, k, ["query_id"], F.desc(F.round("score", 9)), "doc_id")
 
 
+def _held(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, term): the terms, of letters and digits, that texts hold.  Such a term lies within a run of letters and digits, so the corpus's distinct
+    runs are cut into pieces as long as terms are, the pieces meet the terms, and the runs their documents, each by equality."""
+    sizes = sorted(r.n for r in terms.select(F.length("term").alias("n")).distinct().collect())  # as many as a term has characters
+    runs = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))).alias("run"))
+
+    def cut(n: int) -> Column:
+        at = F.sequence(F.lit(1), F.length("run") - n + 1)
+        return F.when(F.length("run") >= n, F.transform(at, lambda i: F.substring("run", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    pieces = runs.select("run").distinct().select("run", F.explode(F.array_distinct(F.concat(*map(cut, sizes)))).alias("term"))
+    return runs.join(pieces.join(terms, "term"), "run").select("doc_id", "term").distinct()
+
+
 def substring_hits(docs: DataFrame, terms: DataFrame, k: int = 8, block: int = 2_000) -> DataFrame:
     """(query_id, doc_id, score, rank): documents whose text holds one of the question's terms (query_id, term) anywhere, ASCII case aside; all
     count 1, the first ``k`` by doc_id.
 
-    Distinct terms go to the documents in blocks of about ``block``; a document is read once a block and gives the terms it holds.
+    Terms of letters and digits are found by equality joins.  Others, if there are any, go to the documents in blocks of about ``block``;
+    a document is read once a block and gives the terms it holds.
     """
-    known = terms.select("term").distinct()
-    blocks = known.groupBy(F.pmod(F.xxhash64("term"), F.lit(max(1, -(-known.count() // block)))).alias("block")).agg(F.collect_list("term").alias("some"))  # a stated set of questions
-    held = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low")).crossJoin(F.broadcast(blocks)).select("doc_id", F.explode(F.filter("some", lambda t: F.contains(F.col("low"), t))).alias("term"))
+    known = terms.where("term <> ''").select("term").distinct()
+    plain = F.col("term").rlike("^[a-z0-9]+$")
+    simple, odd = known.where(plain), known.where(~plain)
+    n, m = (df.count() for df in (odd, simple))
+    parts = [_held(docs, simple)] if m or not n else []
+    if n:
+        blocks = odd.groupBy(F.pmod(F.xxhash64("term"), F.lit(-(-n // block))).alias("block")).agg(F.collect_list("term").alias("some"))  # a stated set of questions
+        parts.append(docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low")).crossJoin(F.broadcast(blocks)).select("doc_id", F.explode(F.filter("some", lambda t: F.contains(F.col("low"), t))).alias("term")))
+    held = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
     hits = held.join(terms, "term").select("query_id", "doc_id").distinct().withColumn("score", F.lit(1.0))
     return _top(hits, k, ["query_id"], "doc_id")
 
