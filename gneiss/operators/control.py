@@ -35,6 +35,8 @@ class FieldReader:
     """Decodes one string field of a JSON object that arrives in pieces.  Only what is not decoded yet is kept."""
 
     _piece = re.compile(r'[^"\\]+|\\u[0-9a-fA-F]{4}|\\u.{4}|\\[^u]', re.S)
+    # Halves of characters outside the basic plane, escaped one by one: a half alone is no character.
+    _half, _low, _begun = re.compile(r"\\u[dD]([89a-fA-F])[0-9a-fA-F]{2}$"), re.compile(r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"), re.compile(r"(?:\\(?:u[0-9a-fA-F]{0,3})?)?")
     # Fixed values.
     _plain = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
@@ -51,7 +53,16 @@ class FieldReader:
             self.phase, self.rest = 1, self.rest[m.end() :]
         out, at = [], 0
         while m := self._piece.match(self.rest, at):
-            at, x = m.end(), m[0]
+            x = m[0]
+            if self._half.match(x):
+                after = self.rest[m.end() : m.end() + 6]
+                if self._begun.fullmatch(after):
+                    break  # the other half may still come
+                pair = bytes.fromhex(x[2:] + after[2:]).decode("utf-16-be", "replace") if self._half.match(x)[1].lower() in "89ab" and self._low.match(after) else None
+                out.append(pair or "\ufffd")
+                at = m.end() + (6 if pair else 0)
+                continue
+            at = m.end()
             if x[0] != "\\":
                 out.append(x)
             elif x[1] != "u":

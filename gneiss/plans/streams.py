@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gneiss.plans.registry import Registry
+from gneiss.plans.sql import ORACLE
 from gneiss.sources.tables import table
-from gneiss.streaming import deferred, replay, snapshots
+from gneiss.streaming import deferred, fields, replay, snapshots
 
 registry = Registry()
 
@@ -67,3 +68,13 @@ def committed_batches(s, d):
     """Events through a sink that writes each micro-batch under its number, summed up from what was committed."""
     e = table(s, d, "events").select("event_id", "event_type", "value")
     return _through(s, e, "event_id", lambda x: x, e.schema).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@registry.query(ORACLE["field_stream"])
+def field_stream_live(s, d):
+    """Every turn as a JSON object that arrives in pieces of seven characters, over several micro-batches, decoded as it comes."""
+    c = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("run"), F.to_json(F.struct("role", F.col("text").alias("final_response"))).alias("j"))
+    tokens = c.select("run", F.posexplode(F.regexp_extract_all("j", F.lit("(?s).{1,7}"), F.lit(0))).alias("seq", "token")).withColumn("seq", F.col("seq").cast("long"))
+    said = _through(s, tokens, "seq", lambda x: fields.field_deltas(x, "final_response"), fields.DELTAS)
+    whole = said.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("p")).select("run", F.array_join(F.transform("p", lambda x: x["delta"]), "").alias("t"))
+    return tokens.select("run").distinct().join(whole, "run", "left").select("run", F.md5(F.coalesce("t", F.lit(""))).alias("field"))

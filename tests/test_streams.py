@@ -136,3 +136,27 @@ def test_streams_that_meet(spark, tmp_path):
     assert rows(got.where("answered_at IS NOT NULL")) == rows(batch.where("answered_at IS NOT NULL"))
     sure = F.col("answered_at").isNull() & (F.col("asked_at") < F.lit(upto) - F.expr("INTERVAL 20 minutes"))
     assert rows(got.where(sure)) == rows(batch.where(sure)) != []
+
+
+@pytest.mark.parametrize("stop_at", [None, 1])
+def test_a_field_that_arrives_in_pieces(spark, tmp_path, stop_at):
+    import json
+
+    from gneiss.streaming import fields
+
+    said = {1: 'quotes " and \\ and\nlines', 2: "ünï 😀 cödé", 3: "", 4: "x" * 200}
+    rows = []
+    for run, text in said.items():
+        j = json.dumps({"first": "no", "answer": text, "last": "answer"})
+        rows += [(run, k, j[i : i + 3]) for k, i in enumerate(range(0, len(j), 3))]
+    rows += [rows[4], (None, 0, "x"), (4, None, "x"), (5, 0, None)]
+    df = spark.createDataFrame(rows, "run long, seq long, token string")
+    replay.arrive(df.where("seq IS NOT NULL"), "seq", str(tmp_path / "in"), 4)
+    with replay.with_state(spark, 2):
+        for start in range(2 if stop_at is not None else 1):
+            stream = fields.field_deltas(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "answer")
+            replay.commit_batches(stream, str(tmp_path / "out"), str(tmp_path / "check"), after=(lambda n: n != stop_at) if start == 0 else None)
+    got = {}
+    for r in replay.committed(spark, str(tmp_path / "out"), fields.DELTAS).orderBy("run", "seq").collect():
+        got[r.run] = got.get(r.run, "") + r.delta
+    assert got == {k: v for k, v in said.items() if v}
