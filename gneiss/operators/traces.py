@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,11 +15,15 @@ def turns(roots: DataFrame, spans: DataFrame) -> DataFrame:
 
     roots: (trace_id, span_id, conversation, start_time, end_time, status).  spans: all spans (trace_id, span_id, name, start_time, end_time), the roots
     among them, which are left out by their id.  breakdown holds (name, count, total_ms) of a trace's children, most time first, then by name; children
-    are summed by trace and name before they meet the root, so a trace of any number of spans is a few rows.  A span without an end counts and
+    are summed by trace and name before they meet the root, so a trace of any number of spans is a few rows.  Times are added in the order of
+    the spans' ids, whichever tasks hold them: another order rounds some halves of such sums the other way.  A span without an end counts and
     takes no time, one without a name is ``unknown``, one without a trace belongs to no turn.
     """
     children = spans.join(roots.select("span_id").distinct(), "span_id", "left_anti").where("trace_id IS NOT NULL")
-    by = children.groupBy("trace_id", F.coalesce("name", F.lit("unknown")).alias("name")).agg(F.count("*").alias("count"), F.round(F.coalesce(F.sum(_ms("start_time", "end_time")), F.lit(0.0)), 0).alias("total_ms"))
+    kids = children.select("trace_id", "span_id", "start_time", "end_time", F.coalesce("name", F.lit("unknown")).alias("name"), _ms("start_time", "end_time").alias("ms"))
+    upto = Window.partitionBy("trace_id", "name").orderBy("span_id", "start_time", "end_time").rowsBetween(Window.unboundedPreceding, 0)
+    summed = kids.select("trace_id", "name", F.count(F.lit(1)).over(upto).alias("nth"), F.sum("ms").over(upto).alias("sofar"))
+    by = summed.groupBy("trace_id", "name").agg(F.max("nth").alias("count"), F.round(F.coalesce(F.max_by("sofar", "nth"), F.lit(0.0)), 0).alias("total_ms"))
     line = F.struct((-F.col("total_ms")).alias("less"), "name", "count", "total_ms")
     per = by.groupBy("trace_id").agg(F.sum("count").alias("span_count"), F.array_sort(F.collect_list(line)).alias("lines"))
     per = per.select("trace_id", "span_count", F.transform("lines", lambda x: F.struct(x["name"].alias("name"), x["count"].alias("count"), x["total_ms"].alias("total_ms"))).alias("breakdown"))

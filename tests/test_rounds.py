@@ -1,6 +1,8 @@
 """Maps of maps, layers, traces, aliases, rules and the graph sink against plain Python."""
 
 import random
+from functools import reduce
+from operator import add
 
 import pandas as pd
 import pytest
@@ -73,6 +75,17 @@ def test_traces(spark):
     assert tuple(traces.unmatched(turns).first()) == (3, 2, 1)
 
 
+
+def test_times_are_added_in_the_order_of_ids(spark):
+    """Sums of floating-point numbers differ by their order, and so do the halves that are rounded."""
+    start = F.lit("2024-01-01").cast("timestamp")
+    spans = spark.range(12 * 2000).select(F.floor(F.col("id") / 12).alias("trace_id"), F.col("id").alias("span_id"), F.lit("a").alias("name"), start.alias("start_time"), F.timestamp_micros(F.unix_micros(start) + F.col("id") * 389 % 977 * 1300).alias("end_time"), F.lit("OK").alias("status"), F.lit(1).alias("conversation"))
+    want = {t: reduce(add, [round(i * 389 % 977 * 1.3, 1) for i in range(12 * t + 1, 12 * t + 12)]) for t in range(2000)}
+    for rows in (spans, spans.orderBy(F.desc("span_id")), spans.repartition(7)):
+        got = {r.trace_id: r.breakdown[0] for r in traces.turns(spans.where("span_id % 12 = 0"), rows).collect()}
+        assert all(got[t]["count"] == 11 and got[t]["total_ms"] == int(s + 0.5) for t, s in want.items())
+
+
 def test_the_last_writer_has_an_alias(spark):
     entities = spark.createDataFrame([("Blue Lantern", ["BL", "lantern"], 1), ("Lantern", [" ", None], 2), ("Old", ["bl"], 0), ("Plain", None, 5)], "canonical string, aliases array<string>, seq int")
     index = aliases.alias_index(entities)
