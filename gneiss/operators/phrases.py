@@ -1,7 +1,7 @@
 """Terms of any number of words found in texts, by joins: a vocabulary may have any size.
 
 A text is cut into pieces, a term into its words.  A piece that may begin a term meets the lengths of the terms that begin so, what
-follows it up to such a length meets the terms, and what separates the words is compared last.
+follows it up to a piece that ends at such a length meets the terms, and what separates the words is compared last.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ BLANK = r"\s\x1c-\x1f\x85\p{Z}"
 LOOSE = {"separator": rf"[-_/{BLANK}]+", "piece": rf"[A-Za-z0-9]+|[-_/{BLANK}]+|[^-_/A-Za-z0-9{BLANK}]", "inner": "[A-Za-z0-9]"}
 #: Terms as they are written: they begin and end where no letter, digit, line or hyphen goes on.
 LITERAL = {"separator": None, "piece": r"[\p{L}\p{N}_-]+|[^\p{L}\p{N}_-]", "inner": r"[\p{L}\p{N}_-]"}
-#: First words of a vocabulary up to which all of them are sent to every task; of more, texts and first words are exchanged.
+#: Terms, and first words of terms, up to which all of them are sent to every task; of more, they and the pieces are exchanged.
 SENT = 200_000
+STEP = 64
 
 
 def _split(text: Column, how: dict) -> Column:
@@ -42,37 +43,51 @@ def terms_of(forms: DataFrame, how: dict = LOOSE) -> DataFrame:
     f = f.withColumn("exact", F.array_join("words", "")).withColumn("key", F.lower("exact")).withColumn("joints", _ends(F.col("words")))
     # a first piece may hold several words, where nothing separates them
     first = F.transform(F.sequence(F.lit(1), F.size("words")), lambda k: F.lower(F.get(_split(F.array_join(F.slice("words", F.lit(1), k), ""), how), F.lit(0))))
-    f = f.withColumn("heads", F.array_distinct(first)).withColumn("steps", F.aggregate(F.transform("words", lambda w: F.size(_split(w, how))), F.lit(0), lambda a, b: a + b) * 2)
+    f = f.withColumn("heads", F.array_distinct(first)).withColumn("steps", F.aggregate(F.transform("words", lambda w: F.size(_split(w, how))), F.lit(0), lambda a, b: a + b) * (2 if how["separator"] else 1))
     return f.select(*forms.columns, "key", "exact", "joints", "heads", "steps")
 
 
+def _few(df: DataFrame) -> bool:
+    return df.limit(SENT + 1).count() <= SENT
+
+
 def candidates(texts: DataFrame, terms: DataFrame, how: dict = LOOSE) -> DataFrame:
     """(doc_id, start, end, surface, form, strict, place): every term at every place of texts (doc_id, text) where it stands as words of its own."""
     limits = terms.agg(F.max("steps").alias("steps")).first()
-    most = (limits.steps or 0) + 1
+    most = max(limits.steps or 0, 1) + 1
     heads = terms.select(F.explode("heads").alias("head"), F.length("key").alias("len")).distinct().groupBy("head").agg(F.collect_set("len").alias("lens"))
+    heads = heads.withColumn("sign", ~F.col("head").rlike(f"^{how['inner']}"))
     cut = texts.select("doc_id", _split(F.coalesce("text", F.lit("")), how).alias("p"))
-    cut = cut.where(F.size("p") > 0).select("doc_id", "p", running(F.transform("p", lambda x: F.length(x))).alias("starts"))
-    at = F.posexplode(F.transform("p", lambda x, i: F.struct(F.lower(x).alias("head"), F.get("starts", i).alias("start"), F.get("p", i - 1).alias("before"), F.slice("p", i + 1, F.lit(most)).alias("ahead"))))
-    rows = cut.select("doc_id", at.alias("i", "x")).select("doc_id", "x.*").where(~_between(F.col("head"), how))
+    # characters before every STEP-th piece; those before another are of the few pieces between
+    blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size("p") - 1) / STEP), F.lit(0)).cast("int"))
+    cut = cut.select("doc_id", "p", running(F.transform(blocks, lambda b: F.length(F.array_join(F.slice("p", b * STEP + 1, F.lit(STEP)), "")))).alias("starts"))
+    rows = cut.select("doc_id", "p", "starts", F.posexplode("p").alias("i", "x")).where(~_between(F.col("x"), how)).withColumn("head", F.lower("x"))
+    block = F.floor(F.col("i") / STEP).cast("int")
+    start = F.get("starts", block) + F.length(F.array_join(F.slice("p", block * STEP + 1, F.col("i") - block * STEP), ""))
+    around = ["doc_id", start.alias("start"), F.get("p", F.col("i") - 1).alias("before"), F.slice("p", F.col("i") + 1, F.lit(most)).alias("ahead")]
+    # what stands around a piece is copied for those that may begin a term; where these are exchanged, before they are
+    rows = rows.join(F.broadcast(heads), "head").select(*around, "lens", "sign") if _few(heads) else rows.select(*around, "head").join(heads, "head")
     # a term that begins with a sign must not follow a letter or digit
-    rows = rows.where(F.col("head").rlike(f"^{how['inner']}") | ~F.coalesce(F.col("before").rlike(how["inner"]), F.lit(False)))
-    small = heads.limit(SENT + 1).count() <= SENT
-    met = rows.join(F.broadcast(heads) if small else heads, "head").select("doc_id", "start", "ahead", F.explode("lens").alias("len"))
-    bare = F.array_join(F.filter("ahead", lambda x: ~_between(x, how)), "")
-    met = met.select("doc_id", "start", "ahead", "len", bare.alias("bare")).where(F.length("bare") >= F.col("len")).withColumn("exactly", F.substring(F.col("bare"), F.lit(1), F.col("len")))
-    hit = met.withColumn("key", F.lower("exactly")).join(terms.select("key", "exact", "joints", "form", "strict", "place"), "key")
-    hit = hit.where(~F.col("strict") | (F.col("exactly") == F.col("exact")))
-    # walk on to the piece that ends the term: n is the pieces taken, gaps where separators stand, over what is left of its length
-    walk = F.aggregate(
-        "ahead", F.struct(F.lit(0).alias("n"), F.lit(0).alias("bare"), F.lit(0).alias("chars"), F.array().cast("array<int>").alias("gaps")),
-        lambda s, x: F.when(s.bare >= F.col("len"), s).when(_between(x, how), F.struct((s.n + 1).alias("n"), s.bare.alias("bare"), (s.chars + F.length(x)).alias("chars"), F.concat(s.gaps, F.array(s.bare)).alias("gaps")))
-        .otherwise(F.struct((s.n + 1).alias("n"), (s.bare + F.length(x)).alias("bare"), (s.chars + F.length(x)).alias("chars"), s.gaps.alias("gaps"))),
-    )
-    hit = hit.withColumn("w", walk).where((F.col("w.bare") == F.col("len")) & (F.size(F.array_except("w.gaps", "joints")) == 0))
-    last, after = F.get("ahead", F.col("w.n") - 1), F.get("ahead", F.col("w.n"))
+    rows = rows.where(~F.col("sign") | ~F.coalesce(F.col("before").rlike(how["inner"]), F.lit(False)))
+    # n is the pieces up to one that may end a term: what is not a separator is as long as one then
+    met = rows.select("doc_id", "start", "ahead", "lens", F.explode(F.sequence(F.lit(1), F.least(F.size("ahead"), F.lit(most - 1)))).alias("n"))
+    taken = F.slice("ahead", F.lit(1), F.col("n"))
+    surface = F.array_join(taken, "")
+    met = met.withColumn("exactly", F.regexp_replace(surface, how["separator"], "") if how["separator"] else surface).where(F.array_contains("lens", F.length("exactly")))
+    met = met.where(~_between(F.get("ahead", F.col("n") - 1), how)).select("doc_id", "start", "ahead", "n", "exactly", F.lower("exactly").alias("key"))
+    known = terms.select("key", "exact", "joints", "form", "strict", "place")
+    hit = met.join(F.broadcast(known) if _few(known) else known, "key").where(~F.col("strict") | (F.col("exactly") == F.col("exact")))
+    if how["separator"]:
+        # separators stand where words may part
+        gaps = F.aggregate(
+            taken, F.struct(F.lit(0).alias("bare"), F.array().cast("array<int>").alias("gaps")),
+            lambda s, x: F.when(_between(x, how), F.struct(s.bare.alias("bare"), F.concat(s.gaps, F.array(s.bare)).alias("gaps"))).otherwise(F.struct((s.bare + F.length(x)).alias("bare"), s.gaps.alias("gaps"))),
+        )["gaps"]
+        hit = hit.where(F.size(F.array_except(gaps, "joints")) == 0)
+    last, after = F.get("ahead", F.col("n") - 1), F.get("ahead", F.col("n"))
     hit = hit.where(last.rlike(f"{how['inner']}$") | ~F.coalesce(after.rlike(how["inner"]), F.lit(False)))
-    return hit.select("doc_id", "start", (F.col("start") + F.col("w.chars")).alias("end"), F.array_join(F.slice("ahead", F.lit(1), F.col("w.n")), "").alias("surface"), "form", "strict", "place")
+    hit = hit.withColumn("surface", surface)
+    return hit.select("doc_id", "start", (F.col("start") + F.length("surface")).alias("end"), "surface", "form", "strict", "place")
 
 
 def _islands(spans: DataFrame, keys: list[str]) -> DataFrame:

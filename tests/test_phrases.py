@@ -65,3 +65,14 @@ def test_term_report(spark):
     terms = spark.createDataFrame([("red apple", False), ("pear", False), ("NASA", True), ("nowhere here", False)], "term string, strict boolean")
     got = {(x.part, x.term): (x.documents, x.chunks) for x in phrases.term_report(chunks, terms).collect()}
     assert got == {("term", "red apple"): (1, 2), ("term", "pear"): (1, 1), ("term", "NASA"): (1, 1), ("term", "nowhere here"): (0, 0), ("one", ""): (2, 3), ("two", ""): (1, 1), ("all", ""): (3, 5)}
+
+
+def test_no_text_is_exchanged_for_a_small_vocabulary(spark):
+    """Only what ends where a term may end goes on, in generated code; terms go to the tasks."""
+    forms = spark.createDataFrame([("green tea", False, 0), ("green tea leaves", False, 0), ("tea", True, 0)], "form string, strict boolean, place int")
+    for how in (phrases.LITERAL, phrases.LOOSE):
+        docs = spark.createDataFrame([(1, "Green tea leaves, GREEN TEA, teas, tea" + " x" * 200)], "doc_id long, text string").repartition(2)
+        found = phrases.candidates(docs, phrases.terms_of(forms, how), how)
+        assert sorted((r.start, r.end, r.form) for r in found.collect()) == [(0, 9, "green tea"), (0, 16, "green tea leaves"), (6, 9, "tea"), (18, 27, "green tea"), (35, 38, "tea")]
+        plan = found.drop("start")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("strategy=broadcast") == 2 and "explode(lens" not in plan
