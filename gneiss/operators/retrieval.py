@@ -13,6 +13,8 @@ from gneiss.functions import text as X
 
 TOP_K, POOL, RRF_K, RECENCY, PER_DOC, BUDGET, REST = 6, 3, 60, 0.15, 3, 12_000, 200
 QUERY_BLOCK = 2_000
+#: Terms of all questions up to which they are sent to every task, and pairs of a document and a question in one part of the scores.
+SENT, PAIRS = 200_000, 500_000
 
 
 def _top(df: DataFrame, k: int, by: list[str], *order) -> DataFrame:
@@ -23,28 +25,32 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int = TOP_K * POOL, scopes: D
     """(query_id, doc_id, score, rank): the best documents of each question.
 
     Statistics are of the whole table, whatever the scope.  Only the questions' terms are kept after the tokens of a document
-    are laid out, and they are counted before anything is exchanged.  Ties go to the smaller doc_id.  ``stems``, a function of an array
+    are laid out, and they are exchanged by document, so that a term of all documents is no group of its own.  Ties go to the smaller doc_id.  ``stems``, a function of an array
     column, makes terms that share a stem one term: it sees each distinct token once, and no token of a document.
     """
     asked = questions.select("query_id", F.explode(X.search_terms(F.col("text"))).alias("term"))
+    few = asked.select("term").distinct().limit(SENT + 1).count() <= SENT
+    sent = F.broadcast if few else lambda x: x
     words = docs.select("doc_id", X.tokens(F.col("text")).alias("w"))
     stats = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
     hits = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
     if stems is None:
-        hits = hits.join(asked.select("term").distinct(), "term")
+        hits = hits.join(sent(asked.select("term").distinct()), "term")
     else:
         asked = asked.withColumn("term", F.get(stems(F.array("term")), F.lit(0)))
         forms = hits.select("term").distinct().select(F.col("term").alias("form"), F.get(stems(F.array("term")), F.lit(0)).alias("term"))
-        hits = hits.withColumnRenamed("term", "form").join(forms.join(asked.select("term").distinct(), "term"), "form")
-    tf = hits.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+        hits = hits.withColumnRenamed("term", "form").join(sent(forms.join(sent(asked.select("term").distinct()), "term")), "form")
+    # all of a document is in one part, where it meets its questions; a part holds a bounded number of such pairs, so parts grow with both tables
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() * questions.count() // PAIRS))
+    tf = hits.select("doc_id", "term", "dl").repartition(parts, "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    df = tf.groupBy("term").agg(F.count("dl").alias("df"))  # of dl, which is never null, so that both uses of tf read one exchange
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.crossJoin(F.broadcast(stats)).select("term", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"), "avgdl")  # stats is one row
     part = F.col("idf") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    found = tf.join(idf, "term").select("term", "doc_id", part.alias("part"))
+    found = tf.join(sent(idf), "term").select("term", "doc_id", part.alias("part"))
     if scopes is not None:
         found = found.join(docs.join(scopes, "source", "left_semi").select("doc_id"), "doc_id", "left_semi")
-    scored = found.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    scored = found.join(sent(asked), "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
     return _top(scored, k, ["query_id"], F.desc(F.round("score", 9)), "doc_id")
 
 

@@ -155,3 +155,33 @@ def test_uploads_and_spans(spark):
     spans = [{"attributes.metadata": '{"conversation_id": "m"}', "attributes.tag.tags": '["conversation:t"]'}, {"attributes.tag.tags": '["x", "conversation:t"]'}, {"attributes.metadata": "broken"}, {}]
     got = spark.createDataFrame([(m,) for m in spans], "a map<string,string>").select(control.conversation_of(F.col("a")).alias("c")).collect()
     assert [r["c"] for r in got] == ["m", "t", None, None]
+
+
+def test_bm25_in_parts_of_documents(spark, monkeypatch):
+    """A term of all documents is no group of its own, parts grow with documents and questions, and repeated ids are one document."""
+    import math
+    import re
+    from collections import Counter
+
+    from gneiss.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "PAIRS", 10)
+    texts = {i: "common " * (i % 3 + 1) + f"word{i % 7} odd{i}" for i in range(40)}
+    asked = {0: "common word3", 1: "odd11 word4", 2: "nothing there", 3: "Common", 4: "word1 word2"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = retrieval.bm25(rows, spark.createDataFrame(list(asked.items()), "query_id long, text string"), k=5)
+    count = {d: Counter(x.split()) for d, x in texts.items()}
+    size = {d: sum(c.values()) for d, c in count.items()}
+    mean = sum(size.values()) / len(size)
+    for q, x in asked.items():
+        score = Counter()
+        for w in x.lower().split():
+            df = sum(w in c for c in count.values())
+            idf = max(math.log((40 - df + 0.5) / (df + 0.5)), 0) or 1e-6
+            for d, c in count.items():
+                if c[w]:
+                    score[d] += idf * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size[d] / mean))
+        want = sorted(score, key=lambda d: (-round(score[d], 9), d))[:5]
+        assert [r.doc_id for r in found.where(f"query_id = {q}").orderBy("rank").collect()] == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") >= 4 and re.search(r"RepartitionByExpression \[doc_id#\d+L?\], 20", plan)
