@@ -373,7 +373,9 @@ def _relations(s, d) -> DataFrame:
 @query
 def type_gate(s, d):
     g = ontology.type_gate(_relations(s, d), ontology.constraints(s))
-    return g.groupBy("predicate", "subject_class", "object_class").agg(F.count("*").alias("n"), F.first("ok").alias("ok"), F.first("inversion_valid").alias("inversion_valid"), F.first("reason").alias("reason"), F.first("component").alias("component"))
+    # the verdicts follow from the first three; as keys they are counted by hash, where a first() of strings would sort all relations
+    by = g.groupBy("predicate", "subject_class", "object_class", "ok", "inversion_valid", "reason", "component").agg(F.count("*").alias("n"))
+    return by.select("predicate", "subject_class", "object_class", "n", "ok", "inversion_valid", "reason", "component")
 
 
 @query

@@ -156,3 +156,17 @@ def test_text_functions(spark):
     assert one(X.cut_prose(F.lit("a. " * 10), 10)) == "a. a. a"
     assert one(X.autotitle(F.lit("  "))) == "New chat"
     assert one(X.score_text(F.lit(None).cast("string"))) == 0.0
+
+
+def test_type_gate_exchanges_no_relations(spark):
+    rows = spark.range(100).select(F.lit("USES").alias("predicate"), F.lit("Service").alias("subject_class"), F.lit("Tool").alias("object_class"))
+    gated = ontology.type_gate(rows, ontology.constraints(spark))
+    assert gated.where("ok").count() == 100
+    assert "hashpartitioning(predicate" not in gated._jdf.queryExecution().executedPlan().toString()
+
+
+def test_type_gate_query_sorts_no_relations(spark):
+    from gneiss.plans import catalog
+
+    plan = catalog.queries()["type_gate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan
