@@ -4,6 +4,7 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as X
@@ -47,6 +48,58 @@ def test_resolution_and_components(spark):
     assert got == {1: 1, 2: 1, 3: 1}
 
 
+def plain_links(rows, threshold):
+    """All pairs of mentions, in plain Python."""
+    share = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if set(a) & set(b) else 0.0
+    one = {}
+    for m, doc, uri, label, name, near, keywords in rows:
+        o = one.setdefault((label, name, doc), [[], uri, [], []])
+        o[0].append(m)
+        o[1] = min(o[1], uri)
+        o[2] += near
+        o[3] += keywords
+    held = [(label, name, doc, *o) for (label, name, doc), o in one.items()]
+    out = []
+    for i, a in enumerate(held):
+        out += [(x, a[3][0]) for x in a[3]]
+        for b in held[:i]:
+            base = graphs.compatible(a[1].split(" "), b[1].split(" ")) if a[0] == b[0] else None
+            place = 0.4 if a[2] == b[2] else 0.3 if a[4].rpartition("/")[0] == b[4].rpartition("/")[0] else 0.0
+            if base == 1.0 or base is not None and base + min(1.0, place + 0.3 * share(a[5], b[5]) + 0.15 * share(a[6], b[6])) >= threshold:
+                out.append((a[3][0], b[3][0]))
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.62, 0.72, 0.9])
+def test_resolution_is_that_of_all_pairs(spark, threshold):
+    import random
+
+    r = random.Random(7)
+    names = ["lee", "ann lee", "a lee", "bob ann lee", "b lee", "poe", "x poe", "xi poe", "xi yu poe", "kay", "kim kay", "k kay", "kim lou kay", "t orr", "tom orr", "una vo"]
+    near = [[], ["a"], ["a", "b"], ["a", "b", "c"], [f"n{i}" for i in range(9)], [f"n{i}" for i in range(10)], [f"n{i}" for i in range(1, 11)], ["b", "c", "d"]]
+    rows = []
+    for part in range(6):
+        rows += [(100 * part + i, 50 * part + r.randrange(30), f"{part}f{r.randrange(12)}/d{i}", f"P{part}", r.choice(names), r.choice(near), r.choice([[], r.choice(near)])) for i in range(30)]
+    rows += [(29, 999, "f90/x", "P0", "una vo", [], [])]  # a mention of two names
+    ms = spark.createDataFrame(rows, "mention_id long, doc_id long, uri string, label string, name string, near array<string>, keywords array<string>")
+    label = {}
+    for a, b in plain_links(rows, threshold):
+        if a != b:
+            old = {label.setdefault(a, a), label.setdefault(b, b)}
+            label = {k: min(old) if v in old else v for k, v in label.items()}
+    assert {x.node: x.label for x in graphs.resolved(ms, threshold).collect()} == label
+    if threshold == graphs.THRESHOLD:
+        assert {x.node: x.label for x in graphs.components(graphs.resolution_links(ms)).collect()} == label
+
+
+def test_resolution_does_not_pair_documents(spark):
+    """Two names in 400 documents each are one link, not 160,000."""
+    rows = [(2 * i + k, 2 * i + k, "d/x", "P", name, ["c"], []) for i in range(400) for k, name in enumerate(("ann lee", "a lee"))]
+    ms = spark.createDataFrame(rows, "mention_id long, doc_id long, uri string, label string, name string, near array<string>, keywords array<string>")
+    assert graphs.resolution_links(ms).count() == 799
+    assert {(x.label, x.n) for x in graphs.resolved(ms).groupBy("label").agg(F.count("*").alias("n")).collect()} == {(0, 800)}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["label"] for r in graphs.components(links).collect()}
