@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,59 +13,80 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MOST_PENDING, WAIT = 6, "10 minutes"
 OUTCOMES = "scope long, event_id long, outcome string, at timestamp"
-_PENDING = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("work", T.StringType()), T.StructField("until", T.LongType())])
+_LONGS = T.ArrayType(T.LongType())
+_PENDING = T.StructType([T.StructField("event_ids", _LONGS), T.StructField("works", T.ArrayType(T.StringType())), T.StructField("untils", _LONGS), T.StructField("timer", T.LongType())])
 
 
 class _Registry(StatefulProcessor):
-    """Of one scope: the work that is pending, in order, and a timer for the first that runs out."""
+    """Of one scope: the work that is pending, in order, and a timer for the first that runs out.
+
+    All of it is one value, the timer's time included, since each call to the state or the timers is a message to the JVM and back.
+    """
 
     def __init__(self, wait_ms: int, most: int | None, once: bool):
         self.wait_ms, self.most, self.once = wait_ms, most, once
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", _PENDING)
+        self.value = handle.getValueState("pending", _PENDING)
+
+    def _load(self) -> tuple[list[tuple], int | None]:
+        held = self.value.get()
+        return ([], None) if held is None else (list(zip(held[0], held[1], held[2], strict=True)), held[3])
 
-    def _expire(self, pending: list[tuple], at: int, out: list[tuple], scope) -> list[tuple]:
-        out += [(scope, e, "dropped", pd.Timestamp(until, unit="ms")) for e, _, until in pending if until <= at]
+    def _expire(self, pending: list[tuple], at: int, out: list[tuple]) -> list[tuple]:
+        out += [(e, "dropped", until * 1_000_000) for e, _, until in pending if until <= at]
         return [p for p in pending if p[2] > at]
 
-    def _keep(self, pending: list[tuple]) -> None:
-        self.pending.put(pending) if pending else self.pending.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+    def _keep(self, pending: list[tuple], timer: int | None) -> None:
+        first = min((p[2] for p in pending), default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
         if pending:
-            self.handle.registerTimer(min(p[2] for p in pending))
+            self.value.update((*map(list, zip(*pending, strict=True)), first))
+        else:
+            self.value.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new, scope, out = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable"), key[0], []
-        pending = [tuple(p) for p in self.pending.get()] if self.pending.exists() else []
-        for r in new.itertuples(index=False):
-            now = int(r.ts.value // 1_000_000)
-            pending = self._expire(pending, now - 1, out, scope)  # an answer at the last moment is in time
-            if r.kind == "answer":
-                out += [(scope, e, "delivered", r.ts) for e, _, _ in pending]
+        frames, out = list(rows), []
+        ids, at = (np.concatenate([f[c].to_numpy().astype(t) for f in frames]).astype("int64") for c, t in (("event_id", "int64"), ("ts", "datetime64[ns]")))
+        kinds, works = ([x for f in frames for x in f[c].tolist()] for c in ("kind", "work"))
+        before, timer = self._load()
+        pending = before
+        for i in np.lexsort((ids, at)).tolist():
+            event, ns, work = int(ids[i]), int(at[i]), works[i]
+            now = ns // 1_000_000
+            pending = self._expire(pending, now - 1, out)  # an answer at the last moment is in time
+            if kinds[i] == "answer":
+                out += [(e, "delivered", ns) for e, _, _ in pending]
                 pending = []
-            elif self.once and any(p[1] == r.work for p in pending):
-                out.append((scope, r.event_id, "duplicate", r.ts))
+            elif self.once and any(p[1] == work for p in pending):
+                out.append((event, "duplicate", ns))
             elif self.most is not None and len(pending) >= self.most:
-                out.append((scope, r.event_id, "refused", r.ts))
+                out.append((event, "refused", ns))
             else:
-                pending.append((int(r.event_id), r.work, now + self.wait_ms))
-        self._keep(pending)
-        yield _frame(out)
+                pending = [*pending, (event, work, now + self.wait_ms)]
+        if pending != before:
+            self._keep(pending, timer)
+        yield from _frames(key[0], out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
-        self._keep(self._expire([tuple(p) for p in self.pending.get()], timerValues.getCurrentWatermarkInMs(), out, key[0]))
-        yield _frame(out)
+        pending, _ = self._load()
+        self._keep(self._expire(pending, timerValues.getCurrentWatermarkInMs(), out), None)  # the timer that has run out is gone
+        yield from _frames(key[0], out)
 
     def close(self) -> None:
         pass
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["scope", "event_id", "outcome", "at"]).astype({"scope": "int64", "event_id": "int64", "at": "datetime64[ns]"})
+def _frames(scope: int, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+    if rows:
+        event, outcome, at = zip(*rows, strict=True)
+        yield pd.DataFrame({"scope": np.full(len(rows), scope, "int64"), "event_id": np.array(event, "int64"), "outcome": outcome, "at": np.array(at, "datetime64[ns]")})
 
 
 def outcomes(rows: DataFrame, wait: str = WAIT, most: int | None = MOST_PENDING, once: bool = True, late: str = "1 hour") -> DataFrame:

@@ -121,6 +121,47 @@ def test_deferred_work(spark, tmp_path, most, once, stop_at):
     assert got == want
 
 
+class Calls:
+    """A handle that stands for the state, and counts the messages that would go to the JVM."""
+
+    def __init__(self):
+        self.n, self.held, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.n += 1
+        return self.held
+
+    def update(self, value):
+        self.n, self.held = self.n + 1, value
+
+    def clear(self):
+        self.n, self.held = self.n + 1, None
+
+    def registerTimer(self, at):
+        self.n += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.n += 1
+        self.timers.remove(at)
+
+
+def test_deferred_work_asks_the_state_little():
+    """Messages for a scope do not grow with its rows, and its timer is set anew only for another time."""
+    from gneiss.streaming import deferred
+
+    calls, registry = Calls(), deferred._Registry(60_000, None, False)
+    registry.init(calls)
+    frame = lambda first, kinds: pd.DataFrame({"event_id": range(first, first + len(kinds)), "ts": pd.to_datetime(range(first, first + len(kinds)), unit="s").astype("datetime64[ns]"), "kind": kinds, "work": "w"})
+    told = lambda first, kinds: [x for f in registry.handleInputRows((1,), iter([frame(first, kinds)]), None) for x in f.itertuples(index=False, name=None)]
+    assert told(0, ["ask"] * 20) == [] and calls.n == 3 and calls.timers == {60_000}
+    assert told(20, ["ask"] * 20) == [] and calls.n == 5 and calls.timers == {60_000}
+    assert [x[:3] for x in told(40, ["answer"])] == [(1, i, "delivered") for i in range(40)] and calls.n == 8 and calls.timers == set() and calls.held is None
+
+
 def test_streams_that_meet(spark, tmp_path):
     from gneiss.streaming import deferred
 
