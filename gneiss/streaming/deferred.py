@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ _PENDING = T.StructType([T.StructField("event_ids", _LONGS), T.StructField("work
 
 
 class _Registry(StatefulProcessor):
-    """Of one scope: the work that is pending, in order, and a timer for the first that runs out.
+    """Of one scope: the work that is pending, by the time it runs out, and a timer for the first that runs out.
 
     All of it is one value, the timer's time included, since each call to the state or the timers is a message to the JVM and back.
     """
@@ -35,8 +37,9 @@ class _Registry(StatefulProcessor):
         return ([], None) if held is None else (list(zip(held[0], held[1], held[2], strict=True)), held[3])
 
     def _expire(self, pending: list[tuple], at: int, out: list[tuple]) -> list[tuple]:
-        out += [(e, "dropped", until * 1_000_000) for e, _, until in pending if until <= at]
-        return [p for p in pending if p[2] > at]
+        n = bisect_right(pending, at, key=itemgetter(2))
+        out += [(e, "dropped", until * 1_000_000) for e, _, until in pending[:n]]
+        return pending[n:] if n else pending
 
     def _keep(self, pending: list[tuple], timer: int | None) -> None:
         first = min((p[2] for p in pending), default=None)
@@ -55,7 +58,7 @@ class _Registry(StatefulProcessor):
         ids, at = (np.concatenate([f[c].to_numpy().astype(t) for f in frames]).astype("int64") for c, t in (("event_id", "int64"), ("ts", "datetime64[ns]")))
         kinds, works = ([x for f in frames for x in f[c].tolist()] for c in ("kind", "work"))
         before, timer = self._load()
-        pending = before
+        pending = list(before)
         for i in np.lexsort((ids, at)).tolist():
             event, ns, work = int(ids[i]), int(at[i]), works[i]
             now = ns // 1_000_000
@@ -68,7 +71,7 @@ class _Registry(StatefulProcessor):
             elif self.most is not None and len(pending) >= self.most:
                 out.append((event, "refused", ns))
             else:
-                pending = [*pending, (event, work, now + self.wait_ms)]
+                insort(pending, (event, work, now + self.wait_ms), key=itemgetter(2))
         if pending != before:
             self._keep(pending, timer)
         yield from _frames(key[0], out)
