@@ -67,7 +67,7 @@ def _spans(s, d):
     e = table(s, d, "events")
     ts = F.col("ts").cast("timestamp")
     return e.select(
-        F.concat(F.lit("t"), F.floor(F.col("event_id") / 12)).alias("trace_id"), F.col("event_id").alias("span_id"), F.when(F.col("event_id") % 17 != 5, F.col("event_type")).alias("name"), ts.alias("start_time"),
+        F.concat(F.lit("t"), F.expr("event_id div 12")).alias("trace_id"), F.col("event_id").alias("span_id"), F.when(F.col("event_id") % 17 != 5, F.col("event_type")).alias("name"), ts.alias("start_time"),
         F.when(F.col("event_id") % 19 != 7, F.timestamp_micros(F.unix_micros(ts) + F.col("event_id") % 977 * 1300)).alias("end_time"), F.when(F.col("event_type") == "error", "Error").otherwise("OK").alias("status"),
         F.when(F.col("user_id") % 9 != 4, F.col("user_id")).alias("conversation"), (F.col("event_id") % 12 == 0).alias("root"),
     )

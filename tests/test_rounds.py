@@ -4,11 +4,13 @@ import random
 from functools import reduce
 from operator import add
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from gneiss.operators import aliases, frontier, rules, traces
+from gneiss.plans import catalog
 from gneiss.sources import graph_sink
 
 
@@ -86,6 +88,18 @@ def test_times_are_added_in_the_order_of_ids(spark):
         assert all(got[t]["count"] == 11 and got[t]["total_ms"] == int(s + 0.5) for t, s in want.items())
 
 
+def test_traces_of_long_ids(spark, tmp_path):
+    """Ids that a floating-point number can't hold stay in their traces."""
+    spark.range(4800).selectExpr(
+        "id + id div 240 * 1000000000000000 - 1000000000000000 AS event_id", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts", "id % 40 AS user_id", "element_at(array('view', 'error', 'click'), int(id % 3) + 1) AS event_type",
+    ).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("conversation_traces", "unmatched_roots"):
+        got, want = catalog.queries()[name](spark, str(tmp_path)).toPandas(), con.sql(catalog.oracle_sql()[name]).df()
+        assert sorted(map(repr, got[list(want.columns)].astype(str).values.tolist())) == sorted(map(repr, want.astype(str).values.tolist()))
+
+
 def test_the_last_writer_has_an_alias(spark):
     entities = spark.createDataFrame([("Blue Lantern", ["BL", "lantern"], 1), ("Lantern", [" ", None], 2), ("Old", ["bl"], 0), ("Plain", None, 5)], "canonical string, aliases array<string>, seq int")
     index = aliases.alias_index(entities)
