@@ -352,9 +352,10 @@ def candidate_terms(s, d):
 
 @query
 def entity_resolution(s, d):
-    ms = graphs.checkpointed(graphs.mentions(documents(s, d)).select("doc_id", "source", "pos", "name"))  # names are found once
+    ms = graphs.checkpointed(graphs.mentions(documents(s, d), None).select("doc_id", "source", "pos", "name"))  # names are found once
+    width = (ms.agg(F.max("pos")).first()[0] or 0) + 1
     near = ms.groupBy("doc_id").agg(F.collect_set("name").alias("near"))
-    full = ms.join(near, "doc_id").select((F.col("doc_id") * 16 + F.col("pos")).alias("mention_id"), "doc_id", F.col("source").alias("uri"), F.lit("PROPN").alias("label"), "name", F.array_except("near", F.array("name")).alias("near"), F.array().cast("array<string>").alias("keywords"))
+    full = ms.join(near, "doc_id").select((F.col("doc_id") * width + F.col("pos")).alias("mention_id"), "doc_id", F.col("source").alias("uri"), F.lit("PROPN").alias("label"), "name", F.array_except("near", F.array("name")).alias("near"), F.array().cast("array<string>").alias("keywords"))
     found = graphs.resolved(full)
     return found.groupBy("label").agg(F.count("*").alias("mentions"))
 

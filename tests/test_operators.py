@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import text as X
 from gneiss.operators import chunking, dedup, graphs, ontology, web
+from gneiss.plans import catalog
 from gneiss.sources import files
 from gneiss.streaming import jobs
 
@@ -92,6 +93,37 @@ def test_resolution_is_that_of_all_pairs(spark, threshold):
         assert {x.node: x.label for x in graphs.components(graphs.resolution_links(ms)).collect()} == label
 
 
+def test_names_beyond_the_tenth_count(spark, tmp_path):
+    """Documents of 30 names; the short form of a name stands last, so only whole documents link it."""
+    plain = " ".join(f"{a}{b}." for a in ("Ba", "Ce", "Di", "Fo", "Gu") for b in ("lan", "mer", "nos", "pid", "quat", "rus"))
+    rows = [(1, f"{plain} Una Vor Lee.", "en", "s"), (2, f"{plain} Una Lee.", "en", "t"), (3, "Una Lee.", "en", None), (4, None, "en", "s"), (5, f"{plain} Vox Lee.", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(r.mentions for r in catalog.queries()["entity_resolution"](spark, str(tmp_path)).collect())
+    assert got == [3] * 31  # each plain name three times; one of three mentions; another alone has no row
+
+
+@pytest.mark.parametrize("least", [0.6, 0.9, 1.0])
+def test_similar_contexts_share_a_key(spark, least):
+    import random
+
+    r = random.Random(5)
+    rows = []
+    for i in range(400):
+        n = r.choice([1, 2, 9, 10, 11, 19, 20, 21, 22, 40, 90, 700])
+        a = r.sample(range(10_000), n)
+        off = r.randrange(int(n * (1 - least)) + 1) if least < 1 else 0
+        b = a[off:] if r.random() < 0.5 else a + r.sample(range(10_000, 20_000), int(n / least + 1e-9) - n)
+        rows.append((i, a, b))
+    h = lambda c: F.array_sort(F.transform(c, lambda x: F.xxhash64(x)))
+    df = spark.createDataFrame(rows, "i int, a array<int>, b array<int>").repartition(4)
+    got = df.select("i", graphs._shared_keys(h("a"), least, True).alias("x"), graphs._shared_keys(h("b"), least, False).alias("y")).collect()
+    assert len(got) == 400
+    for g in got:
+        a, b = set(rows[g.i][1]), set(rows[g.i][2])
+        assert len(a & b) / len(a | b) < least - 1e-9 or set(g.x) & set(g.y)
+        assert len(g.x) <= 22 + 10 * len(a)
+
+
 def test_resolution_does_not_pair_documents(spark):
     """Two names in 400 documents each are one link, not 160,000."""
     rows = [(2 * i + k, 2 * i + k, "d/x", "P", name, ["c"], []) for i in range(400) for k, name in enumerate(("ann lee", "a lee"))]
