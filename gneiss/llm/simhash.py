@@ -7,8 +7,8 @@ fingerprints, is least; -1 leaves a partition out.  Each fingerprint is a base u
 the values within t_i; bases meet all rows of their bucket and are verified on all 64 bits.  Only links that join two parts of
 a bucket are emitted, so a bucket of n rows gives fewer than n, never all pairs.
 
-The near copies of the pipeline (deduplicate) are found by MinHash bands instead and compared by exact Jaccard similarity: at 0.8
-the fingerprints differ in too many bits.
+The near copies of the pipeline (deduplicate) are compared by exact Jaccard similarity.  Their candidates are found by these fingerprints,
+and by MinHash bands what lies beyond: at 0.8 the fingerprints differ in too many bits.
 """
 
 from __future__ import annotations
@@ -302,10 +302,14 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _bands(text: Column, width: int) -> Column:
-    @F.arrow_udf("array<long>")
+def _signature(text: Column, width: int) -> Column:
+    """(fp, keys): the fingerprint and the keys of band_keys()."""
+
+    @F.arrow_udf("struct<fp:long,keys:array<long>>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([band_keys(shingle_hashes(x, width)).view(np.int64) for x in texts.to_pylist()], pa.list_(pa.int64()))
+        hashes = [shingle_hashes(x, width) for x in texts.to_pylist()]
+        fp = pa.array(np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64))
+        return pa.StructArray.from_arrays([fp, pa.array([band_keys(h).view(np.int64) for h in hashes], pa.list_(pa.int64()))], names=["fp", "keys"])
 
     return run(text)
 
@@ -404,8 +408,8 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col
     """docs with one document of each group of near copies: the one with the smallest id (null last), its first text on ties.
 
     Equal texts, by 128 bits of hash, are one class.  Texts are linked if the Jaccard similarity of their sets of width-word shingles reaches ``similarity``.
-    Texts that share a key of band_keys(), at once or through others, form a group, and within a group all pairs that are not joined
-    yet are compared by their sets.  Two texts of similarity j share no key with probability (1 - j ** ROWS) ** BANDS: 4e-9 at 0.8.
+    Texts whose fingerprints differ in at most BITS bits, or that share a key of band_keys(), at once or through others, form a group, and
+    within a group all pairs that are not joined yet are compared by their sets.  Two texts of similarity j share no key with probability (1 - j ** ROWS) ** BANDS: 4e-9 at 0.8.
     Null, empty and blank texts have no shingles and form one group with each other only.  An empty table gives an empty one.  Columns
     with the names in _USED are left out.
     """
@@ -414,8 +418,8 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col
     names = [c for c in docs.columns if c not in _USED]
     docs = docs.drop(*_USED)
     plain = docs.withColumn("__hash", _hash(F.col(text_col), 0)).withColumn("__check", _hash(F.col(text_col), 1))
-    slim = materialise(plain.select(F.col(id_col).alias("id"), F.col("__hash"), F.col("__check"), _bands(F.col(text_col), width).alias("keys")), "bands")
-    texts_ = materialise(slim.groupBy("__hash", "__check").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "classes")
+    slim = materialise(plain.select(F.col(id_col).alias("id"), F.col("__hash"), F.col("__check"), _signature(F.col(text_col), width).alias("s")), "signatures")
+    texts_ = materialise(slim.groupBy("__hash", "__check").agg(F.min("id").alias("id"), F.first("s.fp").alias("fp"), F.first("s.keys").alias("keys")), "classes")
     # different texts with one 64-bit hash: all but one take their second hash for a name; there are few of them among any number of texts
     clash = materialise(texts_.groupBy("__hash").agg(F.count("*").alias("n"), F.min("__check").alias("__keep")).where("n > 1").select("__hash", "__keep"), "clashes")
 
@@ -424,7 +428,11 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col
 
     keyed, classes = named(plain), named(texts_).withColumnRenamed("__node", "node")
     keys = classes.select("node", F.explode("keys").alias("key"))
-    groups = materialise(components(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long")), "groups")
+    stars = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long")
+    of = classes.select("node", "fp")
+    fps = materialise(of.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    same = of.join(fps.withColumnRenamed("node", "first"), "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    groups = materialise(components(stars.unionByName(same).unionByName(candidates(fps, plan(fps, BITS), BITS))), "groups")
     keyed = keyed.withColumn("__k", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
     first = classes.select(F.col("node").alias("__node"), F.coalesce("id", F.lit(-(1 << 63))).alias("__k"))
     nodes = groups.select(F.col("node").alias("__node")).join(first, "__node")

@@ -316,6 +316,24 @@ def test_deduplicate_dense_group(spark):
     assert sorted(i for i in range(len(texts)) if lab.get(i, i) == i) == want
 
 
+def test_deduplicate_by_fingerprints(spark, monkeypatch):
+    """Without a band in common, near copies whose fingerprints are near are still one; near fingerprints alone don't make them copies."""
+    monkeypatch.setattr(simhash, "band_keys", lambda h: np.array([h.sum() if len(h) else 0], np.uint64))
+    texts, n = [], 0
+    while len(texts) < 60:
+        words, n = [f"f{n}w{i}" for i in range(300)], n + 1
+        pair = [" ".join(words), " ".join(words[:-1] + ["other"])]
+        a, b = (simhash.fingerprint_of(simhash.shingle_hashes(t, 5)) for t in pair)
+        if (a ^ b).bit_count() <= 4:
+            texts += pair
+    common, tail = "a b c d e " * 40, [f"t{i}" for i in range(24)]  # five shingles that count forty times, and some that count once
+    texts += [common + " ".join(tail), common + " ".join(tail[::-1])]
+    a, b = (simhash.shingle_hashes(t, 5) for t in texts[-2:])
+    assert (simhash.fingerprint_of(a) ^ simhash.fingerprint_of(b)).bit_count() <= 4 and len(set(a) & set(b)) < 0.8 * len(set(a) | set(b))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.deduplicate(docs).collect()) == [*range(0, 60, 2), 60, 61]
+
+
 def test_deduplicate_pairs_near_the_bound(spark):
     """Groups of two of similarity 0.80 to 0.83: one of each stays."""
     r, texts = np.random.default_rng(6), []
